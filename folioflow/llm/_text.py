@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from functools import cache
 
 import numpy as np
 from pyspark.sql import SparkSession
@@ -20,14 +21,30 @@ def simplified_table(spark: SparkSession) -> dict[str, str]:
     return {a: b for a, b in zip(every, plain) if a != b} if len(plain) == len(every) else {}
 
 
-def folded(text: str, table: dict[int, str] | None = None) -> str:
+@cache
+def _fold_table() -> dict[int, str]:
+    """By rule from the Unicode data: letters and digits without width, accents and case; marks and format characters vanish."""
+    out = {}
+    for cp in range(0x80, 0x2FA20):
+        if 0xAC00 <= cp <= 0xD7A3 or 0xD800 <= cp <= 0xF8FF or 0x4E00 <= cp <= 0x9FFF:
+            continue
+        kind = unicodedata.category(chr(cp))
+        if kind in ("Mn", "Cf"):
+            out[cp] = ""
+        elif kind[0] in "LNS":
+            flat = "".join(c for c in unicodedata.normalize("NFKD", chr(cp).lower()) if not unicodedata.combining(c))
+            if flat != chr(cp):
+                out[cp] = flat
+    return out
+
+
+def fold_table(simplified: dict[str, str]) -> dict[int, str]:
+    return _fold_table() | {ord(a): b for a, b in simplified.items()}
+
+
+def folded(text: str, table: dict[int, str]) -> str:
     """Lower case, compatibility forms and accents flattened, ideographs simplified."""
-    if not text.isascii():
-        text = unicodedata.normalize("NFKD", text)
-        text = "".join(c for c in text if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
-        if table:
-            text = text.translate(table)
-    return text.lower()
+    return text.lower() if text.isascii() else text.lower().translate(table)
 
 
 _WORDS: dict[str, int] = {}

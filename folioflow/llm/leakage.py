@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm._text import TOKEN, folded, gram_hashes, simplified_table, token_ids, winnow
+from folioflow.llm._text import TOKEN, fold_table, folded, gram_hashes, simplified_table, token_ids, winnow
 from folioflow.session import spread
 
 SCHEMA = "doc_id bigint, item_id bigint, matched int, stretches int, first_token int"
@@ -46,8 +46,14 @@ def _is_han(ids: np.ndarray) -> np.ndarray:
     return (ids >= 0x3400) & (ids < 0x100000000)
 
 
-def fingerprints(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, positions) of both families: grams of ideographs, and grams of words."""
+_NONE = np.uint64(2**64 - 1)
+
+
+def fingerprints(ids: np.ndarray, stock: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, positions) of both families: grams of ideographs, and grams of words.
+
+    Sorted stock grams are passed over alike on both sides, so the choice stays local.
+    """
     han = _is_han(ids)
     out_h, out_p = [], []
     for (k, window, _, _), cjk in ((CJK, True), (WORDS, False)):
@@ -58,7 +64,9 @@ def fingerprints(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not fits.any():
             continue
         h = gram_hashes(ids, k)
-        at = winnow(np.where(fits, h, np.uint64(2**64 - 1)), window)
+        if stock is not None and len(stock):
+            fits &= stock[np.minimum(np.searchsorted(stock, h), len(stock) - 1)] != h
+        at = winnow(np.where(fits, h, _NONE), window)
         at = at[fits[at]]
         out_h.append(h[at])
         out_p.append(at)
@@ -125,7 +133,7 @@ def best_two(found: list[tuple[int, int, int, list[int]]], specific: np.ndarray,
 def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", least_han: int = 40, least_words: int = 20, least_specific: float = 0.3, block_items: int = 20_000) -> DataFrame:
     """(doc_id, item_id, matched, stretches, first_token) of every document that shows an item."""
     spark = docs.sparkSession
-    table = {ord(a): b for a, b in simplified_table(spark).items()}
+    table = fold_table(simplified_table(spark))
     corpus = spread(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(doc_text).cast("string").alias("text")).filter(F.length("text") > 0))
     asked = items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item_text).cast("string").alias("text")).filter(F.length("text") > 0)
     blocks, block = [], []
@@ -185,17 +193,20 @@ def _held_against(corpus: DataFrame, block: list[tuple[int, str]], table: dict[i
     for p in places:
         usual = np.median(docs[p]) if len(p) else 0
         specific.append((owners[p] <= 2) & (docs[p] <= max(3.0, 3.0 * usual)))
-    return corpus.mapInPandas(_matcher(spark, block, tokens, specific, table, least_han, least_words, least_specific), SCHEMA)
+    own = np.zeros(len(every), dtype=bool)
+    for p, kept in zip(places, specific):
+        own[p[kept]] = True
+    return corpus.mapInPandas(_matcher(spark, block, tokens, specific, every[~own], table, least_han, least_words, least_specific), SCHEMA)
 
 
-def _matcher(spark, block: list[tuple[int, str]], tokens: list[np.ndarray], specific: list[np.ndarray], table: dict[int, str], least_han: int, least_words: int, least_specific: float):
-    sent = spark.sparkContext.broadcast(([key for key, _ in block], tokens, specific))
+def _matcher(spark, block: list[tuple[int, str]], tokens: list[np.ndarray], specific: list[np.ndarray], stock: np.ndarray, table: dict[int, str], least_han: int, least_words: int, least_specific: float):
+    sent = spark.sparkContext.broadcast(([key for key, _ in block], tokens, specific, stock))
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, tokens, specific = sent.value
+        ids, tokens, specific, stock = sent.value
         hashes, owners, places = [], [], []
         for n, t in enumerate(tokens):
-            h, p = fingerprints(t)
+            h, p = fingerprints(t, stock)
             hashes.append(h)
             places.append(p)
             owners.append(np.full(len(h), n))
@@ -207,7 +218,7 @@ def _matcher(spark, block: list[tuple[int, str]], tokens: list[np.ndarray], spec
             out = []
             for key, text in zip(batch["doc_id"], batch["text"]):
                 t = token_ids(TOKEN.findall(folded(text, table)))
-                h, p = fingerprints(t)
+                h, p = fingerprints(t, stock)
                 low, high = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
                 hit = np.flatnonzero(high > low)
                 if not len(hit):

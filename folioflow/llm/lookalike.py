@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column, DataFrame
@@ -80,20 +81,31 @@ def _count(value: Column, pattern: str) -> Column:
     return F.regexp_count(value, F.lit(pattern))
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of a value computed once; plain nesting would repeat the expression at every use."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def flattened(value: Column) -> Column:
+    """Without invisible characters, every space U+0020, one-to-one compatibility forms flattened."""
+    one_from, one_to, _ = _tables()
+    return F.translate(F.regexp_replace(F.regexp_replace(value, INVISIBLE, ""), OTHER_SPACE, " "), one_from, one_to)
+
+
 def visible(value: Column) -> Column:
-    """Without invisible characters, every space U+0020, compatibility forms flattened, accents composed."""
-    one_from, one_to, many = _tables()
-    plain = F.when(_has(value, INVISIBLE), F.regexp_replace(value, INVISIBLE, "")).otherwise(value)
-    plain = F.when(_has(plain, OTHER_SPACE), F.regexp_replace(plain, OTHER_SPACE, " ")).otherwise(plain)
-    plain = F.when(_has(plain, COMPATIBILITY), F.translate(plain, one_from, one_to)).otherwise(plain)
+    """Flattened, the forms of several letters spelled out and accents composed."""
+    _, _, many = _tables()
     lookup = F.create_map(*[F.lit(x) for pair in many for x in pair])
-    clusters = F.regexp_extract_all(plain, F.lit(r"(?s)(.[\x{300}-\x{36F}\x{3099}\x{309A}]*)"), 1)
-    composed = F.array_join(F.transform(clusters, lambda c: F.coalesce(F.try_element_at(lookup, c), c)), "")
-    return F.when(_has(plain, DECOMPOSED) | _has(plain, COMPATIBILITY), composed).otherwise(plain)
+    clusters = lambda v: F.regexp_extract_all(v, F.lit(r"(?s)(.[\x{300}-\x{36F}\x{3099}\x{309A}]*)"), 1)
+    return _let(flattened(value), lambda v: F.array_join(F.transform(clusters(v), lambda c: F.coalesce(F.try_element_at(lookup, c), c)), ""))
 
 
 def own_script(value: Column) -> Column:
     """Look-alike letters brought back to the script most of the value's letters have."""
+    return _let(value, _own_script)
+
+
+def _own_script(value: Column) -> Column:
     latin, other = _count(value, r"\p{IsLatin}"), _count(value, rf"[{_OTHER}]")
     to_latin = F.translate(value, CYRILLIC + GREEK, CYRILLIC_AS_LATIN + GREEK_AS_LATIN)
     # true Cyrillic words stand beside Latin ones only whole; a look-alike of them is turned word by word
@@ -111,15 +123,19 @@ def own_script(value: Column) -> Column:
 
 def is_dirty(value: Column) -> Column:
     """Whether a value is made of other characters than it seems; false for null."""
-    shown = visible(value)
+    plain = _has(value, INVISIBLE) | _has(value, OTHER_SPACE) | _has(value, COMPATIBILITY) | _has(value, DECOMPOSED)
+    other = _has(value, rf"[{_OTHER}]")
+    return F.coalesce(plain | (other & _let(flattened(value), _mixes_scripts)), F.lit(False))
+
+
+def _mixes_scripts(shown: Column) -> Column:
     latin, other = _count(shown, r"\p{IsLatin}"), _count(shown, rf"[{_OTHER}]")
     unlike = _has(shown, rf"[{_OTHER}&&[^{CYRILLIC}{GREEK}]]")
-    scripts = _has(shown, rf"[{_OTHER}]") & (
+    return (
         _has(shown, MIXED_WORD)
         | (~unlike & ((latin > 0) | _has(shown, r"\p{IsHan}")) & _has(shown, FOREIGN_WORD))
         | ((other > latin) & unlike & _has(shown, LATIN_IN_CYRILLIC) & (latin < 3))
     )
-    return F.coalesce(_has(value, INVISIBLE) | _has(value, OTHER_SPACE) | _has(value, COMPATIBILITY) | _has(value, DECOMPOSED) | scripts, F.lit(False))
 
 
 def values_of(df: DataFrame, table_name: str, id_col: str, fields: list[str]) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folioflow.llm import leakage, lookalike, mojibake, packing, split, truncation
+from folioflow.llm import boilerplate, leakage, lookalike, mojibake, packing, pages, residue, split, truncation
 from folioflow.sources.tables import table
 
 
@@ -39,6 +41,24 @@ def p3_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.canonical_forms(_shown_values(spark, d))
 
 
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    responses, cache = table(spark, d, "fetch_responses"), table(spark, d, "chapter_cache")
+    folder = F.regexp_extract("url", "^(.*)/[^/]*$", 1)  # the pages of a book share a folder
+    return pages.page_rows(responses, "fetch_responses", "response_id", "body", F.col("url"), folder).unionByName(
+        pages.page_rows(cache, "chapter_cache", "cache_id", "content", F.col("book_url"), F.col("book_url"), F.col("chapter_title"))
+    )
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue_rows(pages.line_segments(_pages(spark, d), detail=True))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    segments = pages.line_segments(_pages(spark, d), detail=True).persist(StorageLevel.MEMORY_AND_DISK)
+    residues = residue.residue_rows(segments)
+    return boilerplate.furniture_lines(boilerplate.classified(segments)).join(residues, ["table_name", "row_id"], "left_anti")
+
+
 def _page_texts(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.both(
         mojibake.texts_of(table(spark, d, "fetch_responses"), "fetch_responses", "response_id", "body"),
@@ -75,7 +95,7 @@ def p10_share(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_forms, p7_found, p7_restored, p8_containers, p8_fill, p9_found, p10_found, p10_share)
+    f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_forms, p5_found, p6_found, p7_found, p7_restored, p8_containers, p8_fill, p9_found, p10_found, p10_share)
 }
 
 ORACLES: dict[str, str] = {
