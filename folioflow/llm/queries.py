@@ -8,7 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import boilerplate, leakage, lookalike, mojibake, packing, pages, residue, split, truncation
+from folioflow.llm import boilerplate, leakage, lookalike, mojibake, packing, pages, pairs, residue, split, truncation
 from folioflow.sources.tables import table
 
 
@@ -41,6 +41,10 @@ def p3_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.canonical_forms(_shown_values(spark, d))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defective_pairs(table(spark, d, "chapter_summaries"), table(spark, d, "summary_requests")).select("summary_id", "defect")
+
+
 def _pages(spark: SparkSession, d: str) -> DataFrame:
     responses, cache = table(spark, d, "fetch_responses"), table(spark, d, "chapter_cache")
     folder = F.regexp_extract("url", "^(.*)/[^/]*$", 1)  # the pages of a book share a folder
@@ -67,7 +71,7 @@ def _page_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return mojibake.garbled_rows(mojibake.garbled_lines(_page_texts(spark, d), restore=False))
+    return mojibake.garbled_rows(mojibake.garbled_lines(_page_texts(spark, d), rows_only=True))
 
 
 def p7_restored(spark: SparkSession, d: str) -> DataFrame:
@@ -95,7 +99,7 @@ def p10_share(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_forms, p5_found, p6_found, p7_found, p7_restored, p8_containers, p8_fill, p9_found, p10_found, p10_share)
+    f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_forms, p4_found, p5_found, p6_found, p7_found, p7_restored, p8_containers, p8_fill, p9_found, p10_found, p10_share)
 }
 
 ORACLES: dict[str, str] = {
