@@ -21,10 +21,11 @@ table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.session import written
+
 
 def main_containers(segments: DataFrame) -> DataFrame:
     """(host, main): the signature with the most points of each host."""
@@ -71,8 +72,8 @@ def side_headings(placed: DataFrame, least_share: float = 0.03) -> list[str]:
 
 
 def classified(segments: DataFrame) -> DataFrame:
-    """Adds `role` to every segment: main, heading or furniture."""
-    placed = with_place(segments.persist(StorageLevel.MEMORY_AND_DISK))  # parsed once; a lost part is parsed again
+    """Adds `role` to every segment: main, heading or furniture. Texts are parsed once, into a written table."""
+    placed = with_place(written(segments, "segments"))
     words, heads = menu_words(placed), side_headings(placed)
     known = furniture_keys(placed).withColumn("known", F.lit(True))
     rows = placed.join(known, "key", "left").withColumn("known", F.coalesce("known", F.lit(False)))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm import boilerplate, leakage, lookalike, mojibake, packing, pages, pairs, residue, split, truncation
+from folioflow.session import written
 from folioflow.sources.tables import table
 
 
@@ -54,13 +54,12 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return residue.residue_rows(pages.line_segments(_pages(spark, d), detail=True))
+    return residue.residue_rows(boilerplate.classified(pages.line_segments(_pages(spark, d), detail=True)))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    segments = pages.line_segments(_pages(spark, d), detail=True).persist(StorageLevel.MEMORY_AND_DISK)
-    residues = residue.residue_rows(segments)
-    return boilerplate.furniture_lines(boilerplate.classified(segments)).join(residues, ["table_name", "row_id"], "left_anti")
+    roles = written(boilerplate.classified(pages.line_segments(_pages(spark, d), detail=True)), "roles")
+    return boilerplate.furniture_lines(roles).join(residue.residue_rows(roles), ["table_name", "row_id"], "left_anti")
 
 
 def _page_texts(spark: SparkSession, d: str) -> DataFrame:

@@ -17,23 +17,21 @@ repeated rows each give rows; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm import boilerplate
+from folioflow.session import written
 
 ROW = ["table_name", "row_id"]
 
 
-def main_lines(segments: DataFrame) -> DataFrame:
+def main_lines(roles: DataFrame) -> DataFrame:
     """The main segments of every row; a page without its host's container counts with all its text but links and known furniture."""
-    roles = boilerplate.classified(segments)
     page = Window.partitionBy(*ROW)
     roles = roles.withColumn("whole", F.coalesce(F.max(F.col("inside").cast("int")).over(page), F.lit(1)))
     # no container in the page: an error page outside the site's template
     stray = (F.col("form") == "html") & (F.col("whole") == 0) & ~F.col("known") & (F.col("link") < 0.5) & (F.col("kind") != "n")
-    return roles.filter((F.col("role") == "main") | stray)
+    return roles.filter((F.col("role") == "main") | stray).select(*ROW, "seq", "key", "book", "size", "slots", "latin")
 
 
 def slot_rows(roles: DataFrame, least_marks: int = 2) -> DataFrame:
@@ -64,7 +62,6 @@ def template_rows(lines: DataFrame, least_books: int = 3, least_rows: int = 4, l
     lines = lines.select(*ROW, "seq", "key", "book")
     recurring = lines.groupBy("key", "book").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("books")).filter(F.col("books") >= least_books).select("key", F.lit(1).alias("rec"))
     marked = lines.join(recurring, "key", "left").withColumn("rec", F.coalesce("rec", F.lit(0)))
-    rows = marked.groupBy(*ROW).agg(F.min("rec").alias("alone"), F.max("seq").alias("last"))
     # lines behind which only recurring lines follow are the end of a record
     tail = marked.groupBy(*ROW).agg(F.max(F.when(F.col("rec") == 0, F.col("seq")).otherwise(-1)).alias("story_end"))
     placed = marked.filter("rec = 1").join(tail, ROW).withColumn("ends", F.col("seq") > F.col("story_end")).withColumn("alone", F.col("story_end") == -1)
@@ -74,7 +71,7 @@ def template_rows(lines: DataFrame, least_books: int = 3, least_rows: int = 4, l
     return per_row.filter("ends").join(bad, "key", "left_semi").select(*ROW).distinct()
 
 
-def residue_rows(segments: DataFrame) -> DataFrame:
-    """(table_name, row_id) of all rows whose main text is residue; segments need detail."""
-    lines = main_lines(segments).persist(StorageLevel.MEMORY_AND_DISK)
+def residue_rows(roles: DataFrame) -> DataFrame:
+    """(table_name, row_id) of all rows whose main text is residue; roles of segments with detail."""
+    lines = written(main_lines(roles), "lines")
     return slot_rows(lines).unionByName(blind_rows(lines)).unionByName(template_rows(lines)).distinct()
