@@ -7,11 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import boilerplate, leakage, lookalike, mojibake, packing, pages, pairs, residue, split, truncation
+from folioflow.llm import boilerplate, leakage, lookalike, matching, mojibake, packing, pages, pairs, residue, split, truncation
 from folioflow.session import written
 from folioflow.sources.tables import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return matching.match_hits(table(spark, d, "search_hits")).select("hit_id_a", "hit_id_b")
+
+
+def p1_confidence(spark: SparkSession, d: str) -> DataFrame:
+    return matching.match_hits(table(spark, d, "search_hits"))
+
+
 def _oversized(spark: SparkSession, d: str) -> DataFrame:
     chapters = split.split_oversized(table(spark, d, "txt_chapters"), "txt_chapters", "chapter_id", "content")
     requests = split.split_oversized(table(spark, d, "summary_requests"), "summary_requests", "request_id", "content")
@@ -98,7 +106,7 @@ def p10_share(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_forms, p4_found, p5_found, p6_found, p7_found, p7_restored, p8_containers, p8_fill, p9_found, p10_found, p10_share)
+    f.__name__: f for f in (p1_found, p1_confidence, p2_found, p2_pieces, p3_found, p3_forms, p4_found, p5_found, p6_found, p7_found, p7_restored, p8_containers, p8_fill, p9_found, p10_found, p10_share)
 }
 
 ORACLES: dict[str, str] = {
