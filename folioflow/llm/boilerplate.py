@@ -71,11 +71,13 @@ def side_headings(placed: DataFrame, least_share: float = 0.03) -> list[str]:
     return _vocabulary(placed.filter((F.col("form") == "html") & ~F.col("inside") & (F.col("kind") == "s")), F.col("head"), least_share)
 
 
-def classified(segments: DataFrame) -> DataFrame:
+def classified(segments: DataFrame, broadcast_keys: int = 500_000) -> DataFrame:
     """Adds `role` to every segment: main, heading or furniture. Texts are parsed once, into a written table."""
     placed = with_place(written(segments, "segments"))
     words, heads = menu_words(placed), side_headings(placed)
-    known = furniture_keys(placed).withColumn("known", F.lit(True))
+    known = written(furniture_keys(placed), "furniture").withColumn("known", F.lit(True))
+    if known.count() <= broadcast_keys:  # 8 bytes each; beyond it both sides are shuffled
+        known = F.broadcast(known)
     rows = placed.join(known, "key", "left").withColumn("known", F.coalesce("known", F.lit(False)))
     menu = F.col("words").isNotNull() & (F.size("words") >= 2) & (F.size(F.array_except("words", F.array(*map(F.lit, words)) if words else F.array().cast("array<string>"))) == 0)
     bread = F.coalesce(F.col("sep") & (F.size("words") >= 3) & F.element_at("words", 1).isin(words), F.lit(False)) if words else F.lit(False)
@@ -90,7 +92,7 @@ def classified(segments: DataFrame) -> DataFrame:
         .when(F.col("form") == "html", F.when(~F.col("inside"), F.when(F.col("main").isNull() & ~shown & (F.col("link") < 0.5), "main").otherwise("furniture")).when(F.col("known") | advert | (F.col("link") > 0.5), "furniture").otherwise("main"))
         .otherwise(F.when(shown, "furniture").otherwise("main"))
     )
-    return rows.withColumn("role", role)
+    return rows.select("table_name", "row_id", "line_no", "seq", "form", "kind", "inside", "known", "link", "key", "book", "size", "slots", "latin", role.alias("role"))
 
 
 def furniture_lines(roles: DataFrame) -> DataFrame:

@@ -42,6 +42,7 @@ SLOT_MARKS = ["{{", "}}"], ["${", "}"], ["#{", "}"], ["{$", "}"], ["{%", "%}"],
 _SLOT = re.compile("|".join(f"{re.escape(a)}[ \\t]*([\\w.\u4e00-\u9fff]{{2,24}})[ \\t]*{re.escape(b)}" for a, b in SLOT_MARKS))
 _LATIN = re.compile(r"[^\W\d_]+")
 _HAN = re.compile("[㐀-鿿]")
+_BEYOND = re.compile(r"[^\W\d_a-zA-Z]|\ufffd")
 
 # Elements of HTML.
 VOID = frozenset("br hr img meta link input wbr col area base embed source track".split())
@@ -201,9 +202,10 @@ def slot_names(text: str) -> list[str] | None:
 
 def latin_words(text: str) -> list[int] | None:
     """Hashes of the words of a Latin text of six words or more."""
-    letters = sum(map(str.isalpha, text)) + text.count("�")
-    if _HAN.search(text) or sum(c > "\x7f" and (c.isalpha() or c == "�") for c in text) > 0.15 * letters:
-        return None  # ideographs, another script or garbled
+    if _HAN.search(text):
+        return None
+    if not text.isascii() and 6 * len(_BEYOND.findall(text)) > len(text.replace(" ", "")):
+        return None  # another script or garbled
     found = _LATIN.findall(text.lower())
     return [xxhash.xxh32_intdigest(w.encode()) - (1 << 31) for w in dict.fromkeys(found)] if len(found) >= 6 else None
 

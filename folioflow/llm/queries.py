@@ -62,7 +62,7 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return residue.residue_rows(boilerplate.classified(pages.line_segments(_pages(spark, d), detail=True)))
+    return residue.residue_rows(written(boilerplate.classified(pages.line_segments(_pages(spark, d), detail=True)), "roles"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

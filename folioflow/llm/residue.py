@@ -17,7 +17,7 @@ repeated rows each give rows; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.session import written
@@ -27,11 +27,11 @@ ROW = ["table_name", "row_id"]
 
 def main_lines(roles: DataFrame) -> DataFrame:
     """The main segments of every row; a page without its host's container counts with all its text but links and known furniture."""
-    page = Window.partitionBy(*ROW)
-    roles = roles.withColumn("whole", F.coalesce(F.max(F.col("inside").cast("int")).over(page), F.lit(1)))
+    columns = [*ROW, "seq", "key", "book", "size", "slots", "latin"]
     # no container in the page: an error page outside the site's template
-    stray = (F.col("form") == "html") & (F.col("whole") == 0) & ~F.col("known") & (F.col("link") < 0.5) & (F.col("kind") != "n")
-    return roles.filter((F.col("role") == "main") | stray).select(*ROW, "seq", "key", "book", "size", "slots", "latin")
+    stray = roles.filter((F.col("form") == "html") & ~F.col("inside") & ~F.col("known") & (F.col("link") < 0.5) & (F.col("kind") != "n") & (F.col("role") != "main"))
+    with_container = roles.filter("inside").select(*ROW).distinct()
+    return roles.filter(F.col("role") == "main").select(*columns).unionByName(stray.join(with_container, ROW, "left_anti").select(*columns))
 
 
 def slot_rows(roles: DataFrame, least_marks: int = 2) -> DataFrame:
