@@ -6,9 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from folioflow.plans import documents, knowledge, search, shelf, sequences
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+for _module in (search, shelf, sequences, documents, knowledge):
+    for _name, (_query, _sql) in _module.ALL.items():
+        QUERIES[_name] = _query
+        if _sql:
+            ORACLES[_name] = _sql
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entity merge over all hits of all sources."""
     return QUERIES["search_merge_entities"](spark, sf_dir)
