@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.functions.text import utrim
+
 
 def _row(df: DataFrame, keys: list[str]) -> Column:
     return F.struct(*[c for c in df.columns if c not in keys])
@@ -90,7 +92,7 @@ def without_marker(groups: Column, marker: str) -> Column:
 
 def group_names(groups: Column) -> Column:
     """Names of a list delimited by , ; ； 、, trimmed and kept once (F2)."""
-    parts = F.transform(F.split(F.coalesce(groups, F.lit("")), "[,;；、]"), F.trim)
+    parts = F.transform(F.split(F.coalesce(groups, F.lit("")), "[,;；、]"), utrim)
     return F.array_distinct(F.filter(parts, lambda g: g != ""))
 
 
