@@ -71,7 +71,7 @@ def test_broken_pairs(spark):
     people, things = ["Arden", "Bela", "Corin", "Dara", "Elin"], ["lantern", "ledger", "compass", "violin"]
 
     def content():
-        return " ".join(f"{rng.choice(people)} carried the {rng.choice(things)} across the square at noon, and {rng.choice(people)} counted {rng.randrange(999)} lamps along the quay." for _ in range(6))
+        return " ".join(f"It is said that {rng.choice(people)} carried a copy of the {rng.choice(things)} across the square at noon, and {rng.choice(people)} counted {rng.randrange(999)} lamps along the quay." for _ in range(6))
 
     def answer():
         return " ".join(f"{rng.choice(people)} learns that the {rng.choice(things)} is a copy and suspects the widow." for _ in range(rng.randint(1, 3)))
