@@ -116,9 +116,9 @@ def hit(k, name, author, origin, chapter=None, count=None, intro=None):
 
 def test_matching(spark):
     rows = [
-        hit(1, "The Silver Lantern of Marshgate", "Corin B. Fairley", "o1", 100, "200000"), hit(2, "The Silver Lantren of Marshgate", "Fairley, Corin B.", "o2", 103, "20.4万字"), hit(3, "THE SILVER LANTERN OF MARSHGATE (Novel)", "佚名", "o3", 99, "201000字"),
+        hit(1, "The Silver Lantern of Marshgate", "Corin B. Fairley", "o1", 100, "200000"), hit(2, "The Silver Lantren of Marshgate", "Fairley, Corin B.", "o2", 103, "20.4万字"), hit(3, "THE SILVER LANTERN OF MARSHGATE (Novel)", "by C. B. Fairley", "o3", 99, "201000字"),
         hit(4, "The Silver Lantern of Marshgate 2", "Corin B. Fairley", "o4", 40, "90000"), hit(5, "The Silver Lantern of Marshgate", "Dara Q. Northby", "o5", 500, "900000"),
-        hit(6, "星河剑客", "北砚", "o1", 300, "80万字"), hit(7, "星河劍客【完结】", "作者：北砚", "o2", 305, None), hit(8, "星河客剑", "北…", "o3", 301, "802000"), hit(9, None, None, "o4"), hit(10, "", "-", "o5"),
+        hit(6, "星河剑客", "北砚秋", "o1", 300, "80万字"), hit(7, "星河劍客【完结】", "作者：北砚秋", "o2", 305, None), hit(8, "星河客剑", "北砚…", "o3", 301, "802000"), hit(9, None, None, "o4"), hit(10, "", "-", "o5"),
         hit(901, "Copy Lantern Story", "Elin Faro", "o1", 10, None), hit(902, "Copy Lantern Story", "Elin Faro", "o1", 10, None), hit(11, "Copy Lantern Story", "Elin Faro", "o2", 11, None),
     ]
     d = spark.createDataFrame(rows, HITS)
