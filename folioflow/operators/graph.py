@@ -59,3 +59,26 @@ def hierarchy(places: DataFrame, most_depth: int = 32) -> DataFrame:
         out, depth = out.unionByName(level), depth + 1
     circular = p.join(out.select("name"), "name", "left_anti").select("name", F.lit(0).alias("depth"), F.col("name").alias("path"))
     return out.unionByName(circular)
+
+
+def closure(links: DataFrame, starts: DataFrame, most_rounds: int = 40) -> DataFrame:
+    """(root, page, depth): pages reached from each start by following links, each once (U8).
+
+    Rounds double the reach: what is known up to n steps is joined to the links of
+    exactly n steps, then those are joined to themselves. A chain of a million pages
+    needs twenty rounds; it ends when nothing new is met. Meant for links of which a
+    page has few, as next pages have.
+    """
+    jump = written(links.select("page", "next").filter("next is not null").distinct(), "jump")
+    seen = written(starts.select("root", F.col("root").alias("page"), F.lit(0).alias("depth")).distinct(), "seen")
+    known = seen.count()
+    for k in range(most_rounds):
+        further = seen.join(jump, "page").select("root", F.col("next").alias("page"), (F.col("depth") + 2**k).cast("int").alias("depth"))
+        seen = written(seen.unionByName(further).groupBy("root", "page").agg(F.min("depth").alias("depth")), "seen")
+        count = seen.count()
+        if count == known:
+            break
+        known = count
+        second = jump.select(F.col("page").alias("next"), F.col("next").alias("last"))
+        jump = written(jump.join(second, "next").select("page", F.col("last").alias("next")).distinct(), "jump")
+    return seen

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions.text import canonical_key, clean, utrim
@@ -97,10 +97,12 @@ def last_known(patches: DataFrame, keys: list[str], order: str, fields: list[str
 
 
 def capped(rows: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:
-    """At most so many rows of a section (O10), a stated limit of the context."""
-    best = rows.select(*keys, F.struct(*order, F.struct(*rows.columns).alias("row")).alias("r"))
-    top = best.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list("r")), 1, most).alias("rows"))
-    return top.select(F.explode("rows").alias("r")).select("r.row.*")
+    """At most so many rows of a section (O10), a stated limit of the context.
+
+    Spark keeps only the first rows of each group in every task before the shuffle
+    (window group limit), so a hot section isn't gathered.
+    """
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_n") <= most).drop("_n")
 
 
 def state_text(fields: dict[str, Column]) -> Column:

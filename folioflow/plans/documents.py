@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions import text, urls
-from folioflow.operators import rewrite, sequence
+from folioflow.operators import model_json, rewrite, sequence, sources_admin
 from folioflow.plans._named import collector
 from folioflow.rules import engine
 from folioflow.sources import imports
@@ -168,3 +168,40 @@ def json_import(spark: SparkSession, d: str) -> DataFrame:
     hits = table(spark, d, "search_hits").select(F.to_json(F.struct(F.array(F.struct("hit_id", "origin", "name")).alias("bookSourceList"))).alias("value"))
     items = imports.objects(hits)
     return items.select(F.get_json_object("item", "$.hit_id").cast("bigint").alias("hit_id"), "pos", F.get_json_object("item", "$.origin").alias("origin"), F.get_json_object("item", "$.name").alias("name"))
+
+
+@query("""SELECT summary_id, CASE WHEN trim(coalesce(summary, ''), ' ' || chr(9) || chr(10) || chr(13) || chr(12288)) = '' THEN NULL ELSE summary END AS text FROM chapter_summaries WHERE NOT contains(coalesce(summary, ''), '{')""")
+def model_answer_text(spark: SparkSession, d: str) -> DataFrame:
+    """Answers read permissively; those that hold no object are their own summary."""
+    answers = table(spark, d, "chapter_summaries").filter(~F.contains(F.coalesce("summary", F.lit("")), F.lit("{")))
+    return answers.select("summary_id", model_json.summary_of(F.col("summary"))["summary"].alias("text"))
+
+
+@query()
+def model_answer_objects(spark: SparkSession, d: str) -> DataFrame:
+    """Answers that hold an object, truncated ones repaired, with their summary and points."""
+    answers = table(spark, d, "chapter_summaries").filter(F.contains("summary", F.lit("{")))
+    read = answers.select("summary_id", model_json.summary_of(F.col("summary")).alias("r"))
+    return read.select("summary_id", "r.summary", F.array_join("r.key_points", " | ").alias("points"))
+
+
+@query("SELECT hit_id, coalesce(kind, 'all') AS title, book_url AS url FROM search_hits UNION ALL SELECT hit_id, 'next' AS title, origin AS url FROM search_hits")
+def explore_categories(spark: SparkSession, d: str) -> DataFrame:
+    """Explore settings of title::url parts read back."""
+    text_of = F.concat(F.coalesce("kind", F.lit("all")), F.lit("::"), F.col("book_url"), F.lit("&&next::"), F.col("origin"))
+    return table(spark, d, "search_hits").select("hit_id", F.inline(sources_admin.categories(text_of)))
+
+
+@query("SELECT hit_id, origin AS source, name AS book_rule FROM search_hits WHERE regexp_matches(name, '^[A-Za-z][A-Za-z ]*$')")
+def source_migration(spark: SparkSession, d: str) -> DataFrame:
+    """Flat definitions brought into nested form."""
+    hits = table(spark, d, "search_hits").filter(F.col("name").rlike("^[A-Za-z][A-Za-z ]*$"))
+    flat = hits.select("hit_id", F.to_json(F.struct(F.col("origin").alias("bookSourceUrl"), F.col("name").alias("ruleSearchName"))).alias("item"))
+    m = sources_admin.migrate(flat)
+    return m.select("hit_id", F.get_json_object("item", "$.bookSourceUrl").alias("source"), F.get_json_object("item", "$.ruleSearch.name").alias("book_rule"))
+
+
+@query("SELECT origin, count(*) AS hits FROM search_hits WHERE contains(lower(coalesce(name, '')), 'the') OR contains(lower(coalesce(origin, '')), 'the') GROUP BY 1")
+def source_filter(spark: SparkSession, d: str) -> DataFrame:
+    hits = table(spark, d, "search_hits").filter(sources_admin.matching(F.col("name"), F.col("origin"), F.lit(None).cast("string"), " The "))
+    return hits.groupBy("origin").agg(F.count("*").alias("hits"))

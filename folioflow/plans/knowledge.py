@@ -125,3 +125,29 @@ def place_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("n_nationkey")
     places = table(spark, d, "nation").select(n.cast("string").alias("name"), F.when(n > 0, F.floor((n - 1) / 3).cast("bigint").cast("string")).alias("parent"))
     return graph.hierarchy(places)
+
+
+@query("""
+    WITH RECURSIVE l AS (SELECT DISTINCT user_ns || '/' || book_url AS b, chapter_index AS i FROM txt_chapters),
+        e AS (SELECT b || '#' || i AS page, b || '#' || (i + 1) AS next FROM l WHERE EXISTS (SELECT 1 FROM l m WHERE m.b = l.b AND m.i = l.i + 1)),
+        s AS (SELECT b || '#' || min(i) AS root FROM l GROUP BY b),
+        t AS (SELECT root, root AS page, 0 AS depth FROM s UNION ALL SELECT t.root, e.next, t.depth + 1 FROM t JOIN e ON e.page = t.page)
+    SELECT root, page, depth FROM t
+""")
+def page_closure(spark: SparkSession, d: str) -> DataFrame:
+    """Next links followed from every book's first chapter as far as they lead."""
+    c = table(spark, d, "txt_chapters").select(F.concat_ws("/", "user_ns", "book_url").alias("b"), F.col("chapter_index").alias("i")).distinct()
+    name = lambda i: F.concat(F.col("b"), F.lit("#"), i.cast("string"))
+    there = c.select("b", (F.col("i") - 1).alias("i"))
+    links = c.join(there, ["b", "i"], "left_semi").select(name(F.col("i")).alias("page"), name(F.col("i") + 1).alias("next"))
+    starts = c.groupBy("b").agg(F.min("i").alias("i")).select(name(F.col("i")).alias("root"))
+    return graph.closure(links, starts)
+
+
+@query("""
+    SELECT doc_kind, doc_id FROM (SELECT coalesce(doc_kind, 'none') AS doc_kind, doc_id, row_number() OVER (PARTITION BY coalesce(doc_kind, 'none') ORDER BY n_chars DESC, doc_id) AS n FROM documents) WHERE n <= 20
+""")
+def section_caps(spark: SparkSession, d: str) -> DataFrame:
+    """The twenty longest texts of every kind: the limit is the feature."""
+    rows = table(spark, d, "documents").select(F.coalesce("doc_kind", F.lit("none")).alias("doc_kind"), "doc_id", "n_chars")
+    return knowledge.capped(rows, ["doc_kind"], [(-F.col("n_chars")).alias("o"), F.col("doc_id").alias("i")], 20).select("doc_kind", "doc_id")
