@@ -62,9 +62,19 @@ def _vocabulary(placed: DataFrame, word: Column, least_share: float) -> list[str
     return sorted(r["w"] for r in rows.groupBy("w").count().filter(F.col("count") >= max(2, least_share * hosts)).select("w").collect())
 
 
-def menu_words(placed: DataFrame, least_share: float = 0.1) -> list[str]:
-    menus = placed.filter((F.col("form") == "html") & ~F.col("inside") & (F.col("link") > 0.5) & F.col("words").isNotNull())
-    return sorted({w for phrase in _vocabulary(menus, F.explode("words"), least_share) for w in phrase.split()})
+def menu_words(placed: DataFrame, least_pages: float = 0.2, least_hosts: int = 2) -> list[str]:
+    """Words of links that stand outside main bodies on a share of the pages of several hosts.
+
+    A host has at most its links a page, over the share, of them; links to single
+    works don't reach it.
+    """
+    html = placed.filter(F.col("form") == "html")
+    menus = html.filter(~F.col("inside") & (F.col("link") > 0.5) & F.col("words").isNotNull())
+    on = menus.select("host", "table_name", "row_id", F.explode("words").alias("w")).distinct().groupBy("host", "w").agg(F.count("*").alias("n"))
+    pages = html.select("host", "table_name", "row_id").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    wide = on.join(pages, "host").filter(F.col("n") >= F.greatest(F.lit(2), least_pages * F.col("pages")))
+    rows = wide.groupBy("w").count().filter(F.col("count") >= least_hosts).select("w").collect()
+    return sorted({w for r in rows for w in r["w"].split()})
 
 
 def side_headings(placed: DataFrame, least_share: float = 0.03) -> list[str]:

@@ -57,6 +57,15 @@ REFUSALS = {
     ),
 }
 
+# Common words of languages in Latin letters.
+COMMON = {
+    "en": "the and of to in that was is with for his her had not but from they she you were".split(),
+    "fr": "le la les des et que un une du dans pour est pas qui sur avec se ne au ce".split(),
+    "de": "der die und das den von ist mit sich auf dem nicht ein eine zu war als auch wie".split(),
+    "es": "el los las una por con para como pero su lo mas fue del al sus esta muy".split(),
+    "it": "il che di non gli una per con del della sono era alla anche come piu nel".split(),
+}
+
 _HAN = re.compile("[㐀-鿿]")
 _LATIN = re.compile(r"[^\W\d_㐀-鿿]+")
 _SENTENCE = re.compile(r"[^。！？!?.…\n]+[。！？!?.…]*[”’\"»]?")
@@ -91,8 +100,16 @@ def _han_share(text: str) -> float:
     return han / max(1, han + sum(len(w) for w in _LATIN.findall(text)) / 3)
 
 
-def _short_words(text: str) -> set[str]:
-    return {w for w in _LATIN.findall(text.lower()) if len(w) <= 4}
+def language(text: str) -> str:
+    """han, a language in Latin letters by its common words, or nothing where they don't tell."""
+    if _han_share(text) > 0.35:
+        return "han"
+    words = _LATIN.findall(text.lower())
+    scores = sorted(((sum(w in own for w in words), name) for name, own in _COMMON.items()), reverse=True)
+    return scores[0][1] if scores[0][0] > scores[1][0] else ""
+
+
+_COMMON = {name: frozenset(words) for name, words in COMMON.items()}
 
 
 def _within(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -109,7 +126,7 @@ class Pair:
         self.grams = np.unique(_grams(_codes(_letters(content)), GRAM))
         self.two = np.unique(_grams(_codes(_letters(content)), 2))
         self.han = _han_share(content)
-        self.words = _short_words(content)
+        self.language = language(content)
         self.long = {w for w in _LATIN.findall(content.lower()) if len(w) > 4}
 
     def held(self, text: str) -> float:
@@ -128,13 +145,10 @@ class Pair:
         """How sure it is that a text isn't in the content's language: 0 to 1."""
         if not _letters(text):
             return 0.0
-        han = _han_share(text)
-        if (self.han > 0.35) != (han > 0.35):
+        own = language(text)
+        if "han" in (own, self.language) and own != self.language:
             return 1.0
-        if han > 0.35:
-            return 0.0
-        words = [w for w in _LATIN.findall(text.lower()) if len(w) <= 4]
-        return float(np.mean([w not in self.words for w in words])) if len(words) >= 2 else 0.3
+        return 0.3 if not own or not self.language else float(own != self.language)
 
     def dense(self, summary: str, points: list[str]) -> list[float]:
         text = summary.strip()
@@ -151,12 +165,12 @@ class Pair:
         quotes = abs(text.count("“") - text.count("”")) + abs(text.count("«") - text.count("»")) + abs(text.count("{") - text.count("}"))
         return [
             1.0, float(len(letters) <= 4), float(not letters), min(len(letters), 60) / 60, held, float(held > 0.5), most, float(most > 0.8), points_held, float(points_held > 0.6),
-            float(ends), float(not ends and len(letters) > 4), float(bool(_DOTS.search(text))), float(quotes > 0), strange, float(strange > 0.6), points_strange, float(points_strange > 0.6),
-            ground, float(ground < 0.12 and len(letters) > 4), float(len(points) > 0), float(text.startswith(("{", "["))),
+            float(ends), float(not ends and len(letters) > 4), float(bool(_DOTS.search(text))), float(quotes > 0), strange, 2.0 * (strange > 0.6), points_strange, 2.0 * (points_strange > 0.6),
+            ground, 0.4 * (ground < 0.12 and len(letters) > 4), float(len(points) > 0), float(text.startswith(("{", "["))),
         ]
 
 
-DENSE = 22
+DENSE, GRAM_WEIGHT = 22, 1.0
 
 
 def features(pair: Pair, summary: str, points: list[str]) -> np.ndarray:
@@ -170,7 +184,7 @@ def features(pair: Pair, summary: str, points: list[str]) -> np.ndarray:
                 out[at + g] = 1.0
     norm = np.sqrt(out[DENSE:].sum())
     if norm:
-        out[DENSE:] /= norm
+        out[DENSE:] *= GRAM_WEIGHT / norm
     return out
 
 
@@ -192,13 +206,15 @@ def _made(rng: np.random.Generator, rows: list[tuple[str, list[str], str]]) -> I
     for (summary, points, content), pair in zip(rows, pairs):
         yield pair, summary, points, -1
         yield pair, summary, [], -1
+        if pair.han > 0.35 and rng.random() < 0.2:  # dots behind a whole sentence are no truncation
+            yield pair, re.sub("[。！？]+$", "", summary.strip()) + "……", points, -1
         text = summary.strip()
         if len(text) > 12:  # broken off within a sentence, with or without a mark
             cut = int(rng.integers(max(4, len(text) // 5), len(text) - 2))
             while cut > 4 and (text[cut - 1] in "。.！？!?…”’）)」\n " or _END.search(text[:cut])):
                 cut -= 1
             whole = text[:cut] if rng.random() > 0.15 else '{"summary":"' + text[:cut]
-            yield pair, whole + str(rng.choice(["", "", "", "", "", "", "", "…", "..."])), points if rng.random() < 0.7 else [], 1
+            yield pair, whole + str(rng.choice(["", "", "", "", "", "", "", "", "", "", "…", "..."])), points if rng.random() < 0.7 else [], 1
         sentences = [s.strip() for s in _SENTENCE.findall(content) if len(_letters(s)) >= 6]
         if sentences:
             n = int(rng.integers(1, 6))
