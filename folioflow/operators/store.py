@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions.text import utrim
@@ -102,6 +102,46 @@ def live_sessions(sessions: DataFrame, now: Column, ttl_seconds: int = 7 * 86_40
     return sessions.withColumn("expires_at", end).filter(F.col("expires_at") > now)
 
 
+def cascade(dependents: dict[str, DataFrame], gone: DataFrame, keys: list[str]) -> dict[str, DataFrame]:
+    """Every dependent table without the rows of deleted keys."""
+    return {name: delete(rows, gone, keys) for name, rows in dependents.items()}
+
+
+def with_progress(shelf: DataFrame, moves: DataFrame, chapters: DataFrame, keys: list[str], now: Column) -> DataFrame:
+    """Shelf rows moved to a chapter: index, position, time and the chapter's title; unmoved rows stay."""
+    m = moves.select(*keys, F.col("chapter_index").alias("_i"), F.col("chapter_pos").alias("_p"))
+    t = chapters.select(*keys, F.col("chapter_index").alias("_i"), F.col("title").alias("_t"))
+    j = shelf.join(m.join(t, [*keys, "_i"], "left"), keys, "left")
+    moved = F.col("_i").isNotNull()
+    new = {"dur_chapter_index": F.col("_i"), "dur_chapter_pos": F.col("_p"), "dur_chapter_time": now, "dur_chapter_title": F.coalesce(F.col("_t"), F.col("dur_chapter_title"))}
+    return j.select(*[F.when(moved, new[c]).otherwise(F.col(c)).cast(dict(shelf.dtypes)[c]).alias(c) if c in new else F.col(c) for c in shelf.columns])
+
+
+def allocated(groups: DataFrame, new: DataFrame, key: str = "group_id", place: str = "pos") -> DataFrame:
+    """New groups of id 0 get the ids behind the greatest; others replace theirs."""
+    top = groups.agg(F.coalesce(F.max(key), F.lit(0)).alias("_m"))
+    rank = F.sum((F.col(key) == 0).cast("bigint")).over(Window.partitionBy(F.lit(0)).orderBy(place))  # a user's few new groups
+    given = new.join(F.broadcast(top)).withColumn(key, F.when(F.col(key) == 0, F.col("_m") + rank).otherwise(F.col(key))).drop("_m")
+    return upsert(groups, given, [key])
+
+
+def switched(shelf: DataFrame, moves: DataFrame, fields: list[str], keys: tuple[str, ...] = ("user_ns", "book_url")) -> DataFrame:
+    """Shelf rows moved to another source: the new address, fields of the new source where it has them.
+
+    moves: the keys, new_url, new_origin and the fields.
+    """
+    m = moves.select(*keys, "new_url", "new_origin", *[F.nullif(F.trim(f), F.lit("")).alias(f"_{f}") for f in fields])
+    j = shelf.join(m, list(keys), "left")
+    put = {"book_url": F.coalesce("new_url", "book_url"), "origin": F.coalesce("new_origin", "origin")} | {f: F.coalesce(f"_{f}", f) for f in fields}
+    return j.select(*[put[c].alias(c) if c in put else F.col(c) for c in shelf.columns])
+
+
+def recent(rows: DataFrame, keys: list[str], opened: str, now: Column, is_feed: Column, most: int = 100, feed_days: int = 7) -> DataFrame:
+    """The newest opened rows, feed ones up to an age, a stated number of them (F16)."""
+    fresh = rows.filter(F.col(opened).isNotNull() & (~is_feed | (F.col(opened) > now - F.lit(feed_days * 86_400))))
+    return fresh.orderBy(F.desc(opened), *keys).limit(most)
+
+
 def swap(state: DataFrame, path: str, mode: Callable[[DataFrame], DataFrame] = lambda d: d) -> None:
     """Writes a state beside an old one and moves it into its place."""
     spark = state.sparkSession

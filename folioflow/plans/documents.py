@@ -205,3 +205,25 @@ def source_migration(spark: SparkSession, d: str) -> DataFrame:
 def source_filter(spark: SparkSession, d: str) -> DataFrame:
     hits = table(spark, d, "search_hits").filter(sources_admin.matching(F.col("name"), F.col("origin"), F.lit(None).cast("string"), " The "))
     return hits.groupBy("origin").agg(F.count("*").alias("hits"))
+
+
+@query()
+def rule_toc(spark: SparkSession, d: str) -> DataFrame:
+    """Side lists of pages read as contents pages: the last of equal addresses stays."""
+    return engine.extract_toc(table(spark, d, "fetch_responses"), {"list": "-tag.a", "name": "text", "url": "href"}, "response_id", "body", F.col("url"))
+
+
+@query(r"""
+    SELECT response_id, trim(regexp_replace(json_extract_string(body, '$.data.content'), '[0-9]+', 'N', 'g'), ' ' || chr(10) || chr(12288)) AS text FROM fetch_responses WHERE starts_with(body, '{"code":0,"data":{"title":"') AND json_valid(body)
+""")
+def rule_content(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "fetch_responses").filter(F.col("body").startswith('{"code":0,"data":{"title":"') & F.try_parse_json("body").isNotNull())
+    return engine.extract_content(docs, {"content": "$.data.content", "replace": r"##\d+##N"}, "response_id", "body", F.col("url")).select("response_id", "text")
+
+
+@query("SELECT spec_id, md5(url || chr(10) || coalesce(http_method, '')) AS name, strftime(created_at, '%Y-%m-%d %H:%M') AS at FROM request_specs")
+def keyed_names(spark: SparkSession, d: str) -> DataFrame:
+    from folioflow.functions import codec
+
+    specs = table(spark, d, "request_specs")
+    return specs.select("spec_id", codec.keyed_md5(F.col("url"), F.coalesce("http_method", F.lit(""))).alias("name"), codec.minutes(F.unix_timestamp("created_at")).alias("at"))

@@ -156,3 +156,17 @@ def namespace_copy(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "shelf_books").groupBy("book_url", "user_ns").agg(F.max("shelf_id").alias("shelf_id"))
     owner = table(spark, d, "shelf_books").orderBy("shelf_id").select("user_ns").first()["user_ns"]
     return store.copy_namespace(rows, owner, "copied", ["book_url"])
+
+
+@query("""
+    WITH m AS (SELECT user_ns, book_url, max(chapter_index) AS i FROM summary_requests GROUP BY 1, 2), t AS (SELECT user_ns, book_url, chapter_index AS i, max(chapter_title) AS t FROM summary_requests GROUP BY 1, 2, 3), s AS (SELECT user_ns, book_url, max(shelf_id) AS shelf_id, max(dur_chapter_index) AS i, max(dur_chapter_title) AS t FROM shelf_books GROUP BY 1, 2)
+    SELECT s.shelf_id, coalesce(m.i, s.i) AS dur_chapter_index, CASE WHEN m.i IS NULL THEN s.t ELSE coalesce(t.t, s.t) END AS dur_chapter_title FROM s LEFT JOIN m USING (user_ns, book_url) LEFT JOIN t ON t.user_ns = s.user_ns AND t.book_url = s.book_url AND t.i = m.i
+""")
+def progress_update(spark: SparkSession, d: str) -> DataFrame:
+    """Every shelf row moved to the last chapter its user asked for."""
+    keys = ["user_ns", "book_url"]
+    r = table(spark, d, "summary_requests")
+    moves = r.groupBy(*keys).agg(F.max("chapter_index").alias("chapter_index")).withColumn("chapter_pos", F.lit(0))
+    titles = r.groupBy(*keys, "chapter_index").agg(F.max("chapter_title").alias("title"))
+    shelf = table(spark, d, "shelf_books").groupBy(*keys).agg(F.max("shelf_id").alias("shelf_id"), F.max("dur_chapter_index").alias("dur_chapter_index"), F.max("dur_chapter_pos").alias("dur_chapter_pos"), F.max("dur_chapter_time").alias("dur_chapter_time"), F.max("dur_chapter_title").alias("dur_chapter_title"))
+    return store.with_progress(shelf, moves, titles, keys, F.lit(0)).select("shelf_id", "dur_chapter_index", "dur_chapter_title")

@@ -387,6 +387,75 @@ def _regex_rows(body: str, pattern: str, rules: dict[str, str], base: str) -> li
     return out
 
 
+def _scope(body: str, init: str | None, ctx: Context) -> object:
+    """The node fields start from: the document, or what `init` narrows it to."""
+    mode = mode_of(init or "", body)
+    if mode == "json":
+        try:
+            value = json.loads(body)
+        except ValueError:
+            return {}
+        found = jsonpath.select(value, strip_mode(init)) if init and strip_mode(init).startswith("$") else [value]
+        return found[0] if found else {}
+    root = dom.parse(body)
+    if not init:
+        return root
+    if "@put:" in init:
+        field(init, root, ctx)
+        return root
+    return next(iter(elements(root, strip_mode(init))), root)
+
+
+def info(body: str, rules: dict[str, str], base: str = "", scripts: dict[str, Script] | None = None) -> dict[str, str | None]:
+    """One row of fields of a detail page, `init` first (R28); toc_url falls back to the page."""
+    ctx = Context(base, scripts)
+    node = _scope(body, rules.get("init"), ctx)
+    out = {n: _finished(n, field(r, node, ctx), base) for n, r in rules.items() if n != "init"}
+    if "toc_url" in rules:
+        out["toc_url"] = out["toc_url"] or base
+    return out
+
+
+def toc(body: str, rules: dict[str, str], base: str = "", scripts: dict[str, Script] | None = None) -> list[dict]:
+    """Chapters of a contents page (R29): titles, absolute addresses, flags, numbered from 0.
+
+    Of equal addresses markup keeps the last, other forms the first; a volume heading
+    without an address is named by its title and number.
+    """
+    listing = (rules.get("list") or "").strip()
+    found = rows(body, {k: v for k, v in rules.items()}, base, scripts)
+    keep_last = mode_of(listing.lstrip("-+"), body) in ("css", "xpath")
+    out: dict[str, dict] = {}
+    for n, r in enumerate(found):
+        volume = truth(r.get("is_volume"))
+        title = r.get("name") or ""
+        url = r.get("url") or (f"{title}{n}" if volume else base)
+        if url in out and not keep_last:
+            continue
+        out.pop(url, None)
+        out[url] = {"title": title, "url": url, "is_volume": volume, "is_vip": truth(r.get("is_vip")), "is_pay": truth(r.get("is_pay")), "tag": r.get("update_time")}
+    return [{"index": n, **c} for n, c in enumerate(out.values())]
+
+
+def truth(value: str | None) -> bool:
+    return (value or "").strip().lower() not in ("", "0", "false", "null", "none", "no", "off")
+
+
+def content(body: str, rules: dict[str, str], base: str = "", scripts: dict[str, Script] | None = None) -> tuple[str, str | None]:
+    """(text, next page's address) of a content page: all values by line, then replacements."""
+    rule, ctx = (rules.get("content") or "").strip(), Context(base, scripts)
+    node = _scope(body, None, ctx)
+    if isinstance(node, dom.Node):
+        plain, *posts = rule.split("##")
+        text = "\n".join(css_values(node, strip_mode(plain))) if plain.strip() else extract(node, "text") or ""
+        text = replaced(text, posts)
+    else:
+        text = field(rule, node, ctx) or ""
+    text = replaced(text, (rules.get("replace") or "").lstrip("#").split("##")) if rules.get("replace") else text
+    following = field(rules.get("next_url"), node, ctx) if rules.get("next_url") else None
+    return text.strip(), resolve(base, following) if following else None
+
+
 # ---- DataFrame forms ----------------------------------------------------------------------
 
 
@@ -410,3 +479,27 @@ def regex_list(docs: DataFrame, pattern: str, key: str, body: str, fields: dict[
     lists = [F.regexp_extract_all(F.col(body), F.lit(pattern), g).alias(f"g{g}") for g in groups]
     z = docs.select(key, F.posexplode(F.arrays_zip(*lists)).alias("pos", "m"))
     return z.select(key, "pos", *[F.col("m")[f"g{r[1:]}"].alias(n) for n, r in fields.items()])
+
+
+def extract_toc(docs: DataFrame, rules: dict[str, str], key: str, body: str, base: Column, scripts: dict[str, Script] | None = None) -> DataFrame:
+    """(key, index, title, url, is_volume, is_vip, is_pay, tag) of every chapter of every contents page."""
+    names = ["index", "title", "url", "is_volume", "is_vip", "is_pay", "tag"]
+    d = docs.select(F.col(key), F.col(body).cast("string").alias("body"), base.cast("string").alias("base")).filter("body is not null")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [(k, *(c[n] for n in names)) for k, text, at in zip(b[key], b["body"], b["base"]) for c in toc(text, rules, at or "", scripts)]
+            yield pd.DataFrame(out, columns=[key, *names])
+
+    return d.mapInPandas(run, f"`{key}` {dict(docs.dtypes)[key]}, index int, title string, url string, is_volume boolean, is_vip boolean, is_pay boolean, tag string")
+
+
+def extract_content(docs: DataFrame, rules: dict[str, str], key: str, body: str, base: Column, scripts: dict[str, Script] | None = None) -> DataFrame:
+    """(key, text, next_url) of every content page."""
+    d = docs.select(F.col(key), F.col(body).cast("string").alias("body"), base.cast("string").alias("base")).filter("body is not null")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(k, *content(text, rules, at or "", scripts)) for k, text, at in zip(b[key], b["body"], b["base"])], columns=[key, "text", "next_url"])
+
+    return d.mapInPandas(run, f"`{key}` {dict(docs.dtypes)[key]}, text string, next_url string")
