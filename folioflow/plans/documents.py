@@ -214,7 +214,7 @@ def rule_toc(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""
-    SELECT response_id, regexp_replace(regexp_replace(json_extract_string(body, '$.data.content'), '[0-9]+', 'N', 'g'), '^[\t-\r\x1c-\x1f\x{85}\p{Z}]+|[\t-\r\x1c-\x1f\x{85}\p{Z}]+$', '', 'g') AS text FROM fetch_responses WHERE starts_with(body, '{"code":0,"data":{"title":"') AND json_valid(body)
+    SELECT response_id, regexp_replace(regexp_replace(json_extract_string(body, '$.data.content'), '\p{Nd}+', 'N', 'g'), '^[\t-\r\x1c-\x1f\x{85}\p{Z}]+|[\t-\r\x1c-\x1f\x{85}\p{Z}]+$', '', 'g') AS text FROM fetch_responses WHERE starts_with(body, '{"code":0,"data":{"title":"') AND json_valid(body)
 """)
 def rule_content(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "fetch_responses").filter(F.col("body").startswith('{"code":0,"data":{"title":"') & F.try_parse_json("body").isNotNull())
