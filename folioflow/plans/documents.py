@@ -103,9 +103,9 @@ def search_snippets(spark: SparkSession, d: str) -> DataFrame:
     return rewrite.search(table(spark, d, "chapter_cache"), "content", "消息", ["cache_id"])
 
 
-@query(r"SELECT hit_id, lower(trim(coalesce(author, ''), ' ')) NOT IN ('', '0', 'false', 'null', 'none', 'no', 'off') AS truthy FROM search_hits WHERE author IS NULL OR regexp_matches(author, '^[ -~]*$')")
+@query(rf"SELECT hit_id, lower(regexp_replace(coalesce(author, ''), '^{SPACE}+|{SPACE}+$', '', 'g')) NOT IN ('', '0', 'false', 'null', 'none', 'no', 'off') AS truthy FROM search_hits")
 def truthiness(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "search_hits").filter(F.col("author").isNull() | F.col("author").rlike("^[ -~]*$")).select("hit_id", text.truthy(F.col("author")).alias("truthy"))
+    return table(spark, d, "search_hits").select("hit_id", text.truthy(F.col("author")).alias("truthy"))
 
 
 @query(rf"SELECT hit_id, trim(regexp_replace(intro, '{SPACE}+', ' ', 'g'), ' ') AS flat, CASE WHEN length(intro) <= 40 THEN intro ELSE left(intro, 40) || '…' END AS short FROM search_hits")
@@ -139,25 +139,25 @@ def url_page_choice(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "request_specs").select("spec_id", urls.page_choice(template, (F.col("spec_id") % 3 + 1).cast("int")).alias("address"))
 
 
-@query("SELECT spec_id, url || '?q=' || replace(replace(url, ':', '%3A'), '/', '%2F') AS url, 'POST' AS http_method, 'a=1' AS body, 2 AS retry FROM request_specs WHERE regexp_matches(url, '^https://[A-Za-z0-9./-]+$')")
+@query("SELECT spec_id, url || '?q=' || replace(replace(url, ':', '%3A'), '/', '%2F') AS url, 'POST' AS http_method, 'a=1' AS body, 2 AS retry FROM request_specs")
 def url_analyze(spark: SparkSession, d: str) -> DataFrame:
-    specs = table(spark, d, "request_specs").filter(F.col("url").rlike("^https://[A-Za-z0-9./-]+$"))
+    specs = table(spark, d, "request_specs")
     template = F.concat(F.col("url"), F.lit('?q={{key}},{"method":"post","body":"a={{page}}","retry":2}'))
     r = urls.analyze_url(template, F.col("url"), F.lit(1), F.lit(""), F.lit(None).cast("string"))
     return specs.select("spec_id", r.alias("r")).select("spec_id", "r.url", "r.http_method", "r.body", "r.retry")
 
 
-@query("SELECT response_id, md5(body) AS digest FROM fetch_responses WHERE body IS NOT NULL AND NOT contains(body, chr(65279))")
+@query("SELECT response_id, md5(body) AS digest FROM fetch_responses WHERE body IS NOT NULL")
 def charset_decode(spark: SparkSession, d: str) -> DataFrame:
     """Bodies put into bytes and read again under their true charset."""
-    docs = table(spark, d, "fetch_responses").filter(F.col("body").isNotNull() & ~F.contains("body", F.lit("﻿")))
+    docs = table(spark, d, "fetch_responses").filter(F.col("body").isNotNull())
     return docs.select("response_id", F.md5(urls.decode_bytes(F.encode("body", "UTF-8"), F.lit("utf-8"), F.col("content_type"))).alias("digest"))
 
 
-@query("SELECT hit_id, 0 AS ord, trim(name, ' ' || chr(9) || chr(10) || chr(13)) AS title, book_url AS link FROM search_hits WHERE regexp_matches(name, '^[A-Za-z0-9]')")
+@query("SELECT hit_id, 0 AS ord, trim(name, ' ') AS title, book_url AS link FROM search_hits")
 def feed_rows(spark: SparkSession, d: str) -> DataFrame:
     """Hits rendered as feeds and read back."""
-    hits = table(spark, d, "search_hits").filter(F.col("name").rlike("^[A-Za-z0-9]"))
+    hits = table(spark, d, "search_hits")
     feeds = hits.select(F.col("hit_id").alias("source_url"), F.concat(F.lit("<rss><channel><item><title>"), F.col("name"), F.lit("</title><link>"), F.col("book_url"), F.lit("</link></item></channel></rss>")).alias("body"))
     return imports.feed_items(feeds).select(F.col("source_url").alias("hit_id"), "ord", "title", "link")
 
@@ -192,10 +192,10 @@ def explore_categories(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "search_hits").select("hit_id", F.inline(sources_admin.categories(text_of)))
 
 
-@query("SELECT hit_id, origin AS source, name AS book_rule FROM search_hits WHERE regexp_matches(name, '^[A-Za-z][A-Za-z ]*$')")
+@query("SELECT hit_id, origin AS source, name AS book_rule FROM search_hits")
 def source_migration(spark: SparkSession, d: str) -> DataFrame:
     """Flat definitions brought into nested form."""
-    hits = table(spark, d, "search_hits").filter(F.col("name").rlike("^[A-Za-z][A-Za-z ]*$"))
+    hits = table(spark, d, "search_hits")
     flat = hits.select("hit_id", F.to_json(F.struct(F.col("origin").alias("bookSourceUrl"), F.col("name").alias("ruleSearchName"))).alias("item"))
     m = sources_admin.migrate(flat)
     return m.select("hit_id", F.get_json_object("item", "$.bookSourceUrl").alias("source"), F.get_json_object("item", "$.ruleSearch.name").alias("book_rule"))

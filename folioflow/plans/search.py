@@ -130,12 +130,11 @@ def hits_dedupe_last(spark: SparkSession, d: str) -> DataFrame:
     return search.distinct_last(table(spark, d, "search_hits").select("query_text", "origin", "hit_id", "last_chapter"), ["query_text", "origin"], "hit_id")
 
 
-@query(rf"""
-    SELECT hit_id, lower(regexp_replace(regexp_replace(regexp_replace(name, '[^\p{{L}}\p{{M}}\p{{N}}]+', '-', 'g'), '^-+', ''), '-+$', '')) AS key FROM search_hits WHERE regexp_matches(name, '^[A-Za-z0-9 ,.:''-]*$')
+@query(r"""
+    SELECT hit_id, regexp_replace(regexp_replace(regexp_replace(lower(name), '[^\p{L}\p{N}]+', '-', 'g'), '^-+', ''), '-+$', '') AS key FROM search_hits
 """)
 def canonical_keys(spark: SparkSession, d: str) -> DataFrame:
-    hits = table(spark, d, "search_hits").filter(F.col("name").rlike(r"^[A-Za-z0-9 ,.:'-]*$"))
-    return hits.select("hit_id", text.canonical_key(F.col("name")).alias("key"))
+    return table(spark, d, "search_hits").select("hit_id", text.canonical_key(F.col("name")).alias("key"))
 
 
 @query(rf"""

@@ -70,10 +70,9 @@ def reverse_reindex(spark: SparkSession, d: str) -> DataFrame:
 _TITLE = rf"regexp_replace(coalesce(title, ''), '{SPACE}|[【】《》（）()]', '', 'g')"
 
 
-@query(rf"SELECT chapter_id, CAST(nullif(regexp_extract({_TITLE}, '^(?:第)?(\d{{1,5}})(?:[章节回话集部卷篇.、:：]|$)', 1), '') AS INTEGER) AS ordinal FROM txt_chapters WHERE NOT regexp_matches({_TITLE}, '^第?[零〇一二两三四五六七八九十百千万]+(章|节|回|话|集|部|卷|篇)')")
+@query(rf"SELECT chapter_id, CAST(nullif(regexp_extract({_TITLE}, '^(?:第)?(\d{{1,5}})(?:[章节回话集部卷篇.、:：]|$)', 1), '') AS INTEGER) AS ordinal FROM txt_chapters")
 def chapter_ordinals(spark: SparkSession, d: str) -> DataFrame:
-    chapters = table(spark, d, "txt_chapters")
-    return chapters.filter(~text.chapter_title(F.col("title")).rlike(r"^第?[零〇一二两三四五六七八九十百千万]+(章|节|回|话|集|部|卷|篇)")).select("chapter_id", text.chapter_ordinal(F.col("title")).alias("ordinal"))
+    return table(spark, d, "txt_chapters").select("chapter_id", text.chapter_ordinal(F.col("title")).alias("ordinal"))
 
 
 @query(rf"""
