@@ -109,7 +109,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p1_found, p1_confidence, p2_found, p2_pieces, p3_found, p3_forms, p4_found, p5_found, p6_found, p7_found, p7_restored, p8_containers, p8_fill, p9_found, p10_found, p10_share)
 }
 
+def _lookalike_sql() -> str:
+    """is_dirty in SQL whose regular expressions know no look-around and no intersections."""
+    def re2(pattern: str) -> str:
+        return pattern.replace("\\p{Is", "\\p{").replace("[\\p{Z}&&[^ ]]", "[\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]")
+
+    wide = "".join(chr(c) for c in (*range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B)))
+    narrow = "".join(chr(c) for c in (*range(0x41, 0x5B), *range(0x61, 0x7B)))
+    letters, same = r"\p{Latin}\p{Cyrillic}\p{Greek}\p{M}", lookalike.CYRILLIC + lookalike.GREEK
+    word = lambda chars: rf"(?:^|[^{letters}])[{chars}]+(?:$|[^{letters}])"
+    plain = "|".join(re2(x) for x in (lookalike.INVISIBLE, lookalike.OTHER_SPACE, lookalike.COMPATIBILITY, lookalike.DECOMPOSED))
+    return rf"""
+        WITH v AS (SELECT 'search_hits' AS table_name, hit_id AS row_id, 'name' AS field_name, name AS value FROM search_hits
+                   UNION ALL SELECT 'search_hits', hit_id, 'author', author FROM search_hits UNION ALL SELECT 'shelf_books', shelf_id, 'name', name FROM shelf_books),
+             s AS (SELECT *, translate(regexp_replace(value, '{re2(lookalike.INVISIBLE)}', '', 'g'), '{wide}', '{narrow}') AS x FROM v WHERE value IS NOT NULL),
+             c AS (SELECT *, len(regexp_extract_all(x, '\p{{Latin}}')) AS latin, len(regexp_extract_all(x, '[\p{{Cyrillic}}\p{{Greek}}]')) AS other,
+                          len(regexp_extract_all(x, '[\p{{Cyrillic}}\p{{Greek}}]')) > len(regexp_extract_all(x, '[{same}]')) AS unlike FROM s)
+        SELECT table_name, row_id, field_name FROM c
+        WHERE regexp_matches(value, '{plain}') OR (other > 0 AND (regexp_matches(x, '{re2(lookalike.MIXED_WORD)}')
+            OR (NOT unlike AND (latin > 0 OR regexp_matches(x, '\p{{Han}}')) AND regexp_matches(x, '{word(same)}'))
+            OR (other > latin AND unlike AND latin < 3 AND regexp_matches(x, '{word(lookalike.LATIN_AS_CYRILLIC)}'))))
+    """
+
+
 ORACLES: dict[str, str] = {
+    "p3_found": _lookalike_sql(),
     "p2_found": """
         SELECT 'txt_chapters' AS table_name, chapter_id AS row_id FROM txt_chapters WHERE length(content) > 4000
         UNION ALL
