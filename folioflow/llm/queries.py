@@ -132,7 +132,45 @@ def _lookalike_sql() -> str:
     """
 
 
+def _truncation_sql(share: bool) -> str:
+    """cut_documents in SQL: the same counts, joins and verdict."""
+    t, blank = truncation, "[\\s　\u00a0\ufeff]"
+    mark, broken, dots, closed, ender, quote = (x.replace("'", "''") for x in (t._MARK, t._BROKEN, t._DOTS, t._CLOSED, t._ENDER, t._QUOTE))
+    letter = r"[\p{Latin}\p{Greek}\p{Cyrillic}\p{Hiragana}\p{Katakana}\p{Hangul}\p{M}]"
+    word = rf"({letter}+(?:[’''\-]{letter}+)*|\p{{Han}}|#|\n|[^\s\p{{L}}\p{{M}}])"
+    head = r"^\s*([\p{L}\p{M}]{1,3}[:：]|\p{Han}{1,3}[^\p{Han}\p{L}]?|[^\s:：#]+(?:\s[^\s:：#]+)?[:：#]?|.)"
+    trim = lambda x: f"regexp_replace({x}, '^{blank}+|{blank}+$', '', 'g')"
+    low = lambda x: f"regexp_replace(lower({x}), '[0-9]+', '#', 'g')"
+    body = rf"""
+        WITH r0 AS (SELECT doc_id, source, {trim('text')} AS t FROM documents), r1 AS (SELECT *, regexp_replace(regexp_replace(t, '{mark}', '', 'g'), '{broken}', '', 'g') AS b FROM r0 WHERE t != ''),
+        r2 AS (SELECT *, b != t AS marked, regexp_matches(b, '{dots}') AS dotted, {trim(f"regexp_replace(b, '{dots}', '', 'g')")} AS bare FROM r1),
+        r AS (SELECT *, regexp_matches(bare, '{closed}') AND NOT dotted AS closed FROM r2),
+        w AS (SELECT regexp_extract_all({low('CASE WHEN closed THEN t ELSE bare END')}, '{word}', 1) AS w FROM r),
+        g AS (SELECT w[i] AS a, w[i + 1] AS b, w[i + 2] AS c, w[i + 3] AS d FROM (SELECT w, unnest(range(1, len(w) - 2)) AS i FROM w WHERE len(w) >= 4)),
+        e AS (SELECT a, b, c, CASE WHEN regexp_matches(d, '{ender}') AND NOT (d = '.' AND regexp_matches(c, '^\p{{Latin}}$')) THEN 1 ELSE 0 END AS ending FROM g WHERE NOT (regexp_matches(c, '{ender}') OR regexp_matches(c, '{quote}'))),
+        n AS (SELECT gram, sum(ending) AS ending, sum(1 - ending) AS inside FROM (SELECT unnest([a || ' ' || b || ' ' || c, b || ' ' || c, c]) AS gram, ending FROM e) GROUP BY 1),
+        l AS (SELECT closed, s[i] AS line, i = len(s) AND len(s) > 1 AND NOT regexp_matches(s[i], '{closed}') AS is_last FROM (SELECT closed, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT closed, string_split_regex(t, '\n+') AS s FROM r))),
+        h AS (SELECT regexp_extract({low('line')}, '{head}', 1) AS head, count(*) FILTER (is_last) AS last, count(*) FILTER (NOT is_last) AS other FROM l GROUP BY 1),
+        u AS (SELECT unnest(regexp_extract_all(t, '((?:…|\.{{3}})+)', 1)) AS dots, regexp_extract(t, '({dots})', 1) AS at_end FROM r),
+        v AS (SELECT dots, count(*) > 3 * count(*) FILTER (at_end = dots) AS dots_inside FROM u WHERE length(dots) <= 6 GROUP BY 1),
+        o AS (SELECT doc_id, source, marked, dotted, regexp_extract(t, '({dots})', 1) AS dots, string_split_regex(t, '\n+')[-1] AS line, contains(t, chr(10)) AS manylines,
+                     list_filter(regexp_extract_all({low('bare')}, '{word}', 1), lambda x: x != chr(10)) AS w FROM r WHERE NOT closed),
+        q AS (SELECT *, regexp_extract({low('line')}, '{head}', 1) AS head, CASE WHEN len(w) >= 3 THEN w[-3] || ' ' || w[-2] || ' ' || w[-1] END AS g3, CASE WHEN len(w) >= 2 THEN w[-2] || ' ' || w[-1] END AS g2, CASE WHEN len(w) >= 1 THEN w[-1] END AS g1 FROM o),
+        j AS (SELECT q.*, h.last, h.other, v.dots_inside, n3.ending AS e3, coalesce(n3.ending + n3.inside, 0) AS n3, n2.ending AS e2, coalesce(n2.ending + n2.inside, 0) AS n2, n1.ending AS e1, coalesce(n1.ending + n1.inside, 0) AS n1
+              FROM q LEFT JOIN h USING (head) LEFT JOIN v USING (dots) LEFT JOIN n n3 ON n3.gram = g3 LEFT JOIN n n2 ON n2.gram = g2 LEFT JOIN n n1 ON n1.gram = g1),
+        k AS (SELECT *, CASE WHEN n3 >= 4 THEN e3 / n3 WHEN n2 >= 4 THEN e2 / n2 WHEN n1 >= 4 THEN e1 / n1 ELSE 0.0 END AS spoken FROM j),
+        f AS (SELECT doc_id, source, coalesce(CASE WHEN marked THEN spoken <= 0.5 WHEN manylines AND length(line) <= 80 AND last >= 3 AND last > 2 * other THEN false
+                     WHEN dotted AND dots_inside THEN n3 >= 20 AND e3 / n3 <= 0.025 WHEN dotted THEN spoken <= 0.5 ELSE NOT (n3 >= 4 AND e3 / n3 > 0.5) END, true) AS cut FROM k
+              UNION ALL SELECT doc_id, source, false FROM r WHERE closed)
+    """
+    if share:
+        return body + " SELECT source, count(*) AS documents, count(*) FILTER (cut) AS cut_documents, round(count(*) FILTER (cut) / count(*), 6) AS share FROM f GROUP BY 1"
+    return body + " SELECT doc_id FROM f WHERE cut"
+
+
 ORACLES: dict[str, str] = {
+    "p10_found": _truncation_sql(share=False),
+    "p10_share": _truncation_sql(share=True),
     "p3_found": _lookalike_sql(),
     "p2_found": """
         SELECT 'txt_chapters' AS table_name, chapter_id AS row_id FROM txt_chapters WHERE length(content) > 4000
