@@ -15,7 +15,7 @@ SPLIT = "TIMESTAMPTZ '2025-07-01 00:00:00+00'"
 
 def _split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A table as it stood at a moment, and what came later."""
-    then = F.lit("2025-07-01 00:00:00").cast("timestamp")
+    then = F.expr("timestamp '2025-07-01T00:00:00Z'")
     return df.filter(F.col("loaded_at") < then), df.filter(~(F.col("loaded_at") < then))
 
 
