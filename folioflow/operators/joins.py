@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.functions import urls
+from folioflow.session import spread
 
 
 def cached_counts(shelf: DataFrame, cache: DataFrame, key: str = "book_url") -> DataFrame:
@@ -80,14 +81,21 @@ def resolved(names: DataFrame, entities: DataFrame, name: str = "name") -> DataF
     return names.withColumn("_k", F.lower(F.trim(name))).join(first, "_k", "left").drop("_k")
 
 
-def mentions(texts: DataFrame, names: DataFrame, text_col: str, name_col: str, n_first: int = 0) -> DataFrame:
+def mentions(texts: DataFrame, names: DataFrame, text_col: str, name_col: str, key_limit: int = 5000) -> DataFrame:
     """Texts with the names they mention.
 
-    Names are a stated set: their shortest pieces of two characters are looked up
-    among the pieces of each text, and the whole name is then checked, so texts meet
-    only names they share a piece with.
+    Names are a stated set. The pairs of characters they begin with are looked up
+    among the pairs of each text and the whole name is then checked, so a text meets
+    only names it shares a beginning with. Up to key_limit beginnings (counted) are
+    looked up inside the row; more of them are joined.
     """
-    pieces = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
-    keyed = names.filter(F.length(name_col) >= 2).select(name_col, F.substring(F.col(name_col), 1, 2).alias("_k"))
-    t = texts.filter(F.length(text_col) >= 2).withColumn("_k", F.explode(pieces(F.col(text_col))))
+    keyed = names.filter(F.length(name_col) >= 2).select(name_col, F.left(F.col(name_col), F.lit(2)).alias("_k")).distinct()
+    begins = keyed.select("_k").distinct()
+    known = [r["_k"] for r in begins.limit(key_limit + 1).collect()]
+    letters = F.split(F.col(text_col), "")
+    pairs = F.array_distinct(F.zip_with(letters, F.slice(letters, F.lit(2), F.size(letters)), lambda a, b: F.concat(a, b)))
+    t = spread(texts.filter(F.length(text_col) >= 2))
+    if len(known) <= key_limit:
+        pairs = F.array_intersect(pairs, F.array(*map(F.lit, known)) if known else F.array().cast("array<string>"))
+    t = t.withColumn("_k", F.explode(pairs))
     return t.join(keyed, "_k").filter(F.contains(text_col, F.col(name_col))).drop("_k")

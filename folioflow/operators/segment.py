@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.functions import text
+from folioflow.session import spread
 
 
 def chapters(texts: DataFrame, key: str = "book_url", body: str = "text") -> DataFrame:
@@ -30,7 +31,7 @@ def chapters(texts: DataFrame, key: str = "book_url", body: str = "text") -> Dat
         heads = F.when((title != "") & text.is_heading(title), F.array_append(acc["heads"], head)).otherwise(acc["heads"])
         return F.struct((acc["at"] + F.octet_length(line) + 1).cast("bigint").alias("at"), heads.alias("heads"))
 
-    found = texts.select(F.col(key).alias("book_url"), F.col(body).alias("t"), F.aggregate(lines, start, step)["heads"].alias("heads")).filter("t is not null")
+    found = spread(texts).select(F.col(key).alias("book_url"), F.col(body).alias("t"), F.aggregate(lines, start, step)["heads"].alias("heads")).filter("t is not null")
     raw = F.encode("t", "UTF-8")
     size = F.octet_length("t").cast("bigint")
     cut = lambda a, b: F.decode(F.substring(raw, (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int")), "UTF-8")

@@ -99,13 +99,17 @@ def relation_both_ends(spark: SparkSession, d: str) -> DataFrame:
     return joins.both_ends(a, good, "l_suppkey", "l_suppkey").select("o_orderkey", "l_linenumber")
 
 
-@query("""
-    WITH n AS (SELECT DISTINCT kind FROM search_hits WHERE length(kind) >= 2)
-    SELECT doc_id, kind FROM documents, n WHERE contains(text, kind)
+THING = "([\u4e00-\u9fff]{2,3})(?:初现|失窃|重现|的主人|之谜|与旧友)$"
+
+
+@query(f"""
+    WITH n AS (SELECT DISTINCT regexp_extract(title, '{THING}', 1) AS thing FROM txt_chapters WHERE regexp_matches(title, '{THING}'))
+    SELECT doc_id, thing FROM documents, n WHERE contains(text, thing)
 """)
 def mention_lookup(spark: SparkSession, d: str) -> DataFrame:
-    names = table(spark, d, "search_hits").select("kind").distinct()
-    return joins.mentions(table(spark, d, "documents").select("doc_id", "text"), names, "text", "kind").select("doc_id", "kind").distinct()
+    """Things that chapter titles name, and the documents that mention them."""
+    names = table(spark, d, "txt_chapters").select(F.regexp_extract("title", THING, 1).alias("thing")).filter("thing != ''").distinct()
+    return joins.mentions(table(spark, d, "documents").select("doc_id", "text"), names, "text", "thing").select("doc_id", "thing")
 
 
 @query("""
