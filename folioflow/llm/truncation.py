@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.session import spread
+
 # Marks that systems put where they cut.
 CUT_MARKS = ["阅读全文", "查看全文", "展开全文", "点击展开", "继续阅读", "展开", "continue reading", "read more", "show more", "see more", "more", "lire la suite", "voir plus", "suite"]
 _MARK = r"(?i)[\s　]*(?:(?:…|\.{3,})+[\s　]*)?[(（\[【<]?(?:" + "|".join(CUT_MARKS) + r")[)）\]】>]?[\s　…]*$"
@@ -40,7 +42,8 @@ def _trim(text: Column) -> Column:
 def prepared(df: DataFrame, id_col: str, text_col: str, source_col: str | None) -> DataFrame:
     """doc_id, source, the trimmed text, the text without marks of a cut, and how it ends."""
     source = F.col(source_col).cast("string") if source_col else F.lit(None).cast("string")
-    rows = df.select(F.col(id_col).cast("bigint").alias("doc_id"), source.alias("source"), _trim(F.col(text_col).cast("string")).alias("t")).filter("t != ''")
+    rows = spread(df.select(F.col(id_col).cast("bigint").alias("doc_id"), source.alias("source"), F.col(text_col).cast("string").alias("x")))
+    rows = rows.select("doc_id", "source", _trim(F.col("x")).alias("t")).filter("t != ''")
     rows = rows.withColumn("bare", F.regexp_replace(F.regexp_replace("t", _MARK, ""), _BROKEN, ""))
     rows = rows.withColumn("marked", F.col("bare") != F.col("t")).withColumn("dotted", F.col("bare").rlike(_DOTS))
     rows = rows.withColumn("bare", _trim(F.regexp_replace("bare", _DOTS, "")))
