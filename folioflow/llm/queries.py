@@ -135,7 +135,7 @@ def _lookalike_sql() -> str:
 def _truncation_sql(share: bool) -> str:
     """cut_documents in SQL: the same counts, joins and verdict."""
     t, blank = truncation, "[\\s　\u00a0\ufeff]"
-    mark, broken, dots, closed, ender, quote = (x.replace("'", "''") for x in (t._MARK, t._BROKEN, t._DOTS, t._CLOSED, t._ENDER, t._QUOTE))
+    mark, broken, dots, closed, ender, quote = (x.replace("'", "''") for x in (t._MARK, t._BROKEN, t._DOTS, t._CLOSED, f"^[{''.join(t.ENDERS)}]$", f"^[{''.join(t.QUOTES)}]$"))
     letter = r"[\p{Latin}\p{Greek}\p{Cyrillic}\p{Hiragana}\p{Katakana}\p{Hangul}\p{M}]"
     word = rf"({letter}+(?:[’''\-]{letter}+)*|\p{{Han}}|#|\n|[^\s\p{{L}}\p{{M}}])"
     head = r"^\s*([\p{L}\p{M}]{1,3}[:：]|\p{Han}{1,3}[^\p{Han}\p{L}]?|[^\s:：#]+(?:\s[^\s:：#]+)?[:：#]?|.)"

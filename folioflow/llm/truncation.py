@@ -28,11 +28,13 @@ from folioflow.session import spread
 CUT_MARKS = ["阅读全文", "查看全文", "展开全文", "点击展开", "继续阅读", "展开", "continue reading", "read more", "show more", "see more", "more", "lire la suite", "voir plus", "suite"]
 _MARK = r"(?i)[\s　]*(?:(?:…|\.{3,})+[\s　]*)?[(（\[【<]?(?:" + "|".join(CUT_MARKS) + r")[)）\]】>]?[\s　…]*$"
 _BROKEN = r"\x{FFFD}+$|<[/!]?[A-Za-z]*[^<>]{0,40}$|&[A-Za-z]{0,7}$|\\u?[0-9a-fA-F]{0,3}$"
+#: characters at the end of a text in which a mark of a cut stands
+_END = 200
 _DOTS = r"(?:…|\.{3,})+$"
 _CLOSED = r"[。！？.!?][”’\"'»）)」』】]*\s*$"
 _WORD = r"(?:(?![\p{IsHan}#])[\p{L}\p{M}])+(?:[’'\-](?:(?!\p{IsHan})[\p{L}\p{M}])+)*|\p{IsHan}|#|\n|[^\s\p{L}\p{M}]"
-_ENDER = r"^[。！？.!?\n…]$"
-_QUOTE = r"^[”’\"»）)」』】]$"
+# Marks that end a sentence or a line, and marks that close behind them.
+ENDERS, QUOTES = tuple("。！？.!?\n…"), tuple("”’\"»）)」』】")
 
 
 def _trim(text: Column) -> Column:
@@ -44,10 +46,12 @@ def prepared(df: DataFrame, id_col: str, text_col: str, source_col: str | None)
     source = F.col(source_col).cast("string") if source_col else F.lit(None).cast("string")
     rows = spread(df.select(F.col(id_col).cast("bigint").alias("doc_id"), source.alias("source"), F.col(text_col).cast("string").alias("x")))
     rows = rows.select("doc_id", "source", _trim(F.col("x")).alias("t")).filter("t != ''")
-    rows = rows.withColumn("bare", F.regexp_replace(F.regexp_replace("t", _MARK, ""), _BROKEN, ""))
-    rows = rows.withColumn("marked", F.col("bare") != F.col("t")).withColumn("dotted", F.col("bare").rlike(_DOTS))
-    rows = rows.withColumn("bare", _trim(F.regexp_replace("bare", _DOTS, "")))
-    return rows.withColumn("closed", F.col("bare").rlike(_CLOSED) & ~F.col("dotted"))
+    # marks stand at the end: only there are they looked for, though the texts are kept whole
+    tail, kept = F.right("t", F.lit(_END)), F.left("t", F.greatest(F.length("t") - _END, F.lit(0)))
+    rows = rows.withColumn("tail", F.regexp_replace(F.regexp_replace(tail, _MARK, ""), _BROKEN, ""))
+    rows = rows.withColumn("marked", F.col("tail") != tail).withColumn("dotted", F.col("tail").rlike(_DOTS))
+    rows = rows.withColumn("bare", _trim(F.concat(kept, F.regexp_replace("tail", _DOTS, "")))).drop("tail")
+    return rows.withColumn("closed", F.right("bare", F.lit(_END)).rlike(_CLOSED) & ~F.col("dotted"))
 
 
 def tokens(text: Column) -> Column:
@@ -63,8 +67,8 @@ def gram_counts(rows: DataFrame) -> DataFrame:
     parts = F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda i: F.struct(*[F.element_at("w", i + k).alias(x) for k, x in enumerate("abcd")]))
     grams = w.filter(F.size("w") >= 4).select(F.inline(parts))
     # the point after a single letter is that of an initial
-    ends = (F.col("d").rlike(_ENDER) & ~((F.col("d") == ".") & F.col("c").rlike(r"^\p{IsLatin}$"))).cast("int")
-    cut = F.col("c").rlike(_ENDER) | F.col("c").rlike(_QUOTE)
+    ends = (F.col("d").isin(*ENDERS) & ~((F.col("d") == ".") & F.col("c").rlike(r"^\p{IsLatin}$"))).cast("int")
+    cut = F.col("c").isin(*ENDERS, *QUOTES)
     three = grams.filter(~cut).groupBy("a", "b", "c").agg(F.sum(ends).alias("ending"), F.sum(1 - ends).alias("inside"))
     flat = F.array(F.concat_ws(" ", "a", "b", "c"), F.concat_ws(" ", "b", "c"), F.col("c"))
     return three.select(F.explode(flat).alias("gram"), "ending", "inside").groupBy("gram").agg(F.sum("ending").alias("ending"), F.sum("inside").alias("inside"))
@@ -82,7 +86,7 @@ def dot_runs(rows: DataFrame) -> DataFrame:
 
     One row per distinct run of at most six dots (longer ones count as six).
     """
-    runs = rows.select(F.explode(F.regexp_extract_all("t", F.lit(r"((?:…|\.{3})+)(?=[\s\S]?)"), 1)).alias("dots"), F.regexp_extract("t", f"({_DOTS})", 1).alias("end"))
+    runs = rows.select(F.explode(F.regexp_extract_all("t", F.lit(r"((?:…|\.{3})+)(?=[\s\S]?)"), 1)).alias("dots"), F.regexp_extract(F.right("t", F.lit(_END)), f"({_DOTS})", 1).alias("end"))
     runs = runs.filter(F.length("dots") <= 6)
     return runs.groupBy("dots").agg((F.count("*") > 3 * F.count_if(F.col("end") == F.col("dots"))).alias("dots_inside"))
 
@@ -106,7 +110,7 @@ def cut_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     at = lambda k: F.when(n >= k, F.try_element_at(F.col("w"), n - k + 1))
     open_rows = open_rows.withColumn("line", F.element_at(F.split("t", r"\n+"), -1)).withColumn("manylines", F.col("t").contains("\n"))
     last = open_rows.select(
-        "doc_id", "source", "marked", "dotted", F.regexp_extract("t", f"({_DOTS})", 1).alias("dots"), "line", "manylines", _head(F.col("line")).alias("head"),
+        "doc_id", "source", "marked", "dotted", F.regexp_extract(F.right("t", F.lit(_END)), f"({_DOTS})", 1).alias("dots"), "line", "manylines", _head(F.col("line")).alias("head"),
         F.when(n >= 3, F.concat_ws(" ", at(3), at(2), at(1))).alias("g3"), F.when(n >= 2, F.concat_ws(" ", at(2), at(1))).alias("g2"), at(1).alias("g1"),
     )
     # one join for the three lengths: the grams are exploded, joined and folded again by document
