@@ -40,6 +40,8 @@ LINES = "table_name string, row_id bigint, line_no int, garbled string, restored
 WRONG = ["cp1252", "cp1251", "gb18030", "big5", "cp932", "cp949", "koi8_r", "mac_roman", "cp1250", "cp437", "cp866"]
 RIGHT = ["utf_8", "gb18030", "cp1252", "cp1251", "big5", "koi8_r", "cp932"]
 
+#: mean log share of records under which characters are rare, however many records there are
+RARE = -2.5
 
 #: single-byte charsets some of whose bytes have no character; decoders then keep the byte's own number
 SINGLE = ("cp1252", "cp1250", "cp1251")
@@ -99,6 +101,7 @@ class Channel:
         table[0x80:0xA0] = self.floor  # control characters, private use and lost characters are never likely
         table[0xFFFD] = self.floor
         table[0xE000:0xF900] = self.floor
+        self.top = float(table[0x80:].max())
         self.table, self.counts, self.pairs, self.records = table, counts, pairs or {}, max(records, 2)
         self.bytes_of: dict[str, dict[str, bytes]] = {}
         self.vocabulary = [c for c, n in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:6000] if c != "�" and table[ord(c)] > self.floor]
@@ -158,12 +161,30 @@ class Channel:
             return single - (1.0 if before > "\x7f" or c > "\x7f" else 0.0)
         return max(single, float(np.log(both / self.records))) + 1.0
 
-    def viterbi(self, data: list[int | None], right: str, beam: int = 12) -> str | None:
-        """The likeliest text of a byte lattice: states are (position, last character)."""
+    def viterbi(self, data: list[int | None], right: str, beam: int = 12, window: int = 8000, overlap: int = 256) -> str:
+        """The likeliest text of a byte lattice, searched in overlapping windows.
+
+        A window is cut where a character of its own likeliest path ends; the next one goes on from that character.
+        """
+        out: list[str] = []
+        at = 0
+        while at < len(data):
+            part = data[at : at + window]
+            last = at + len(part) == len(data)
+            for c, end in self._path(part, right, beam, out[-1] if out else ""):
+                if not last and end > window - overlap:
+                    break
+                out.append(c)
+                reached = end
+            at += reached
+        return "".join(out)
+
+    def _path(self, data: list[int | None], right: str, beam: int, first: str) -> list[tuple[str, int]]:
+        """(character, where its bytes end) along the likeliest path: states are (position, last character)."""
         index, n = self._patterns(right), len(data)
         widest = 1 if right in ("cp1252", "cp1251", "koi8_r") else 4
         best: list[dict[str, tuple[float, int, str]]] = [{} for _ in range(n + 1)]
-        best[0][""] = (0.0, -1, "")
+        best[0][first] = (0.0, -1, "")
         for i in range(n):
             states = best[i]
             if not states:
@@ -194,15 +215,13 @@ class Channel:
                     old = best[i + width].get(c)
                     if old is None or total > old[0]:
                         best[i + width][c] = (total, i, before)
-        if not best[n]:
-            return None
         c = max(best[n], key=lambda s: best[n][s][0])
         out, at = [], n
         while at > 0:
             _, came, before = best[at][c]
-            out.append(c)
+            out.append((c, at))
             at, c = came, before
-        return "".join(reversed(out))
+        return out[::-1]
 
     def strict_readings(self, text: str) -> Iterator[tuple[str, str, int]]:
         """Every way to undo one wrong decoding without loss: (text, channel, 0)."""
@@ -220,15 +239,18 @@ class Channel:
                     if got != text:
                         yield got, f"{right}>{wrong}", 0
 
-    def lossy_readings(self, text: str) -> Iterator[tuple[str, str, int]]:
-        """Readings where bytes were lost, by Viterbi search: (text, channel, lost bytes)."""
+    def lossy_readings(self, text: str, least: float) -> Iterator[tuple[str, str, int]]:
+        """Readings where bytes were lost, by Viterbi search: (text, channel, lost bytes); none that cannot score least."""
         for wrong in WRONG:
             lattice = self.lattice(text, wrong)
-            if lattice is None or None not in lattice or len(lattice) > 8000:
+            if lattice is None or None not in lattice:
                 continue
             lost = lattice.count(None)
             beyond = sum(b is None or b >= 0x80 for b in lattice)
             for right in ("utf_8", "gb18030"):
+                # a character takes two known bytes or a lost one, and scores the commonest's share at best
+                if self.top + min(1.0, lost / (lost + (beyond - lost) / 2)) * self.floor <= least:
+                    continue
                 # the known bytes must already fit the charset but for what the lost ones break
                 rough = bytes(0xA1 if b is None else b for b in lattice).decode(right, "replace")
                 if right == wrong or rough.count("�") > 2 * lost + beyond / 8:
@@ -241,8 +263,8 @@ class Channel:
         """The likeliest reading and its channel, if it beats the text by the margin."""
         own = self.score(text)
         best = self._best(text, own + margin, self.strict_readings(text)) if "�" not in text else None
-        if best is None and lossy and own < self.floor / 3:
-            best = self._best(text, own + margin, self.lossy_readings(text))
+        if best is None and lossy and own < RARE:
+            best = self._best(text, own + margin, self.lossy_readings(text, own + margin))
         if best is None:
             return self.fill_lost(text)
         again = self.restore(best[0], margin, depth - 1, lossy) if depth > 1 else None
@@ -296,7 +318,7 @@ class Channel:
         return np.flatnonzero(((number > 0) & (total < below * number)) | (lost > 0)).tolist()
 
 
-def garbled_lines(texts: DataFrame, margin: float = 1.2, below: float = -2.5, most_pairs: int = 200_000, rows_only: bool = False) -> DataFrame:
+def garbled_lines(texts: DataFrame, margin: float = 1.2, below: float = RARE, most_pairs: int = 200_000, rows_only: bool = False) -> DataFrame:
     """(table_name, row_id, line_no, garbled, restored, channel) of every garbled line.
 
     restored is null where no reading is likely enough. rows_only: the first garbled
@@ -331,13 +353,12 @@ def garbled_lines(texts: DataFrame, margin: float = 1.2, below: float = -2.5, mo
                     continue
                 lines = text.split("\n")
                 if rows_only:
-                    # lines that decode without loss settle most rows; only the rarest other line is searched for lost bytes
+                    # lines that decode without loss settle most rows; the others are searched for lost bytes, the rarest first
                     k = next((k for k in at if "�" in lines[k]), None)
                     if k is None:
                         k = next((k for k in at if restored(lines[k], False)), None)
                     if k is None:
-                        worst = min(at, key=lambda k: channel.score(lines[k]))
-                        k = worst if restored(lines[worst], True) else None
+                        k = next((k for k in sorted(at, key=lambda k: channel.score(lines[k])) if restored(lines[k], True)), None)
                     at = [] if k is None else [k]
                 for k in at:
                     line = lines[k]

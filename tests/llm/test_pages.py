@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import random
 
 from pyspark.sql import functions as F
@@ -79,3 +80,27 @@ def test_wrong_charsets_are_found_and_undone(spark):
     assert got[first, 1] == clean[0] and got[first + 2, 1] == clean[2] and got[first + 3, 1] == french[0]
     assert sorted(r["row_id"] for r in mojibake.garbled_rows(mojibake.garbled_lines(texts, rows_only=True)).collect()) == list(range(first, first + 5))
     assert mojibake.garbled_lines(texts.limit(0)).count() == 0
+
+
+def holed(text, every=17):
+    """UTF-8 read as cp1252, bytes without a character and every 17th other one lost to a mark no charset has."""
+    out = text.encode().decode("cp1252", "replace").replace("\ufffd", "\ue000")
+    return "".join("\ue000" if k % every == every - 1 and c > "\x7f" else c for k, c in enumerate(out))
+
+
+def test_every_rare_line_is_searched_whatever_its_length(spark):
+    rng = random.Random(6)
+    clean = ["他从临云台赶来，众人都看着破旧的竹简，再也没有提过那场大火。第%d号弟子送来书匣。" % rng.randrange(999) for _ in range(200)]
+    rows = list(enumerate(clean)) + [(900, f"{clean[3]}\n\ue001\ue002\n{holed(clean[1])}"), (901, holed("".join(clean[10:120]))), (902, f"{clean[4]}\n\ue001\ue002")]
+    texts = mojibake.texts_of(spark.createDataFrame(rows, "id bigint, body string"), "t", "id", "body")
+    assert len(rows[201][1]) > 8000
+    assert {r["row_id"] for r in mojibake.garbled_rows(mojibake.garbled_lines(texts, rows_only=True)).collect()} == {900, 901}
+
+
+def test_the_search_for_lost_bytes_does_not_depend_on_the_number_of_records():
+    codecs.register_error("byte_itself", mojibake.byte_itself)
+    clean = "他从临云台赶来，众人都看着破旧的竹简，再也没有提过那场大火。"
+    bad = "\ue000" + "".join(chr(b) if b in b"\x81\x8d\x8f\x90\x9d" else bytes([b]).decode("cp1252") for b in clean.encode()[1:])
+    for records in (1000, 10**9):
+        counts = {c: int(0.5 * records) for c in clean} | {c: int(0.03 * records) for c in bad if c > "\x7f"}
+        assert mojibake.Channel(counts, records).restore(bad, 1.2)
