@@ -2,7 +2,8 @@
 
 A line is garbled if undoing some wrong decoding makes it far likelier under the
 corpus. Method: the number of records that hold each character is counted over
-all rows (most are clean, so garbled characters are rare). A line whose
+all rows and by source (most are clean, so garbled characters are rare; a large
+source that garbles all its rows alike is still one of many). A line whose
 characters are rare is put back into bytes under every wrong charset; characters
 that charset lacks, and U+FFFD, become wildcard bytes. The byte lattice is read
 under every right charset by Viterbi search over character and character-pair
@@ -28,7 +29,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.session import spread
@@ -55,23 +56,36 @@ def byte_itself(error: UnicodeEncodeError) -> tuple[bytes, int]:
     return bytes(map(ord, part)), error.end
 
 
-def texts_of(df: DataFrame, table_name: str, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.lit(table_name).alias("table_name"), F.col(id_col).cast("bigint").alias("row_id"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").rlike(r"[^\x00-\x7f]"))
+def texts_of(df: DataFrame, table_name: str, id_col: str, text_col: str, source: Column | None = None) -> DataFrame:
+    """(table_name, row_id, text, source) of rows beyond ASCII; source: what decodes its rows alike, such as a host."""
+    source = F.coalesce(source.cast("string"), F.lit("")) if source is not None else F.lit("")
+    return df.select(F.lit(table_name).alias("table_name"), F.col(id_col).cast("bigint").alias("row_id"), F.col(text_col).cast("string").alias("text"), source.alias("source")).filter(F.col("text").rlike(r"[^\x00-\x7f]"))
 
 
-def character_counts(texts: DataFrame) -> dict[str, int]:
-    """Records that hold each character beyond ASCII; at most one row per Unicode character."""
+def character_counts(texts: DataFrame) -> tuple[dict[str, float], int]:
+    """Records that hold each character beyond ASCII, and all records; at most one row per Unicode character.
+
+    A character counts as the lower of its share of all records and its mean share in the
+    sources: what one large source garbles alike is no commoner than one source makes it.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: Counter[str] = Counter()
+        held: Counter[tuple[str, int]] = Counter()
+        frame = lambda: pd.DataFrame([(*k, n) for k, n in held.items()], columns=["source", "c", "n"]).astype({"c": "int64", "n": "int64"})
         for batch in batches:
-            for text in batch["text"]:
-                held.update(set(text))
-        some = [(ord(c), n) for c, n in held.items() if c > "\x7f"]
-        yield pd.DataFrame(some, columns=["c", "n"]).astype("int64")
+            for source, text in zip(batch["source"], batch["text"]):
+                held.update([(source, ord(c)) for c in set(text) if c > "\x7f"])
+                held[source, -1] += 1
+            if len(held) > 500_000:
+                yield frame()
+                held.clear()
+        yield frame()
 
-    rows = texts.select("text").mapInPandas(count, "c bigint, n bigint").groupBy("c").agg(F.sum("n").alias("n")).toPandas()
-    return {chr(c): int(n) for c, n in zip(rows["c"], rows["n"])}
+    by_source = texts.select("source", "text").mapInPandas(count, "source string, c bigint, n bigint").groupBy("source", "c").agg(F.sum("n").alias("n"))
+    share = F.col("n") / F.max(F.when(F.col("c") == -1, F.col("n"))).over(Window.partitionBy("source"))
+    rows = by_source.withColumn("share", share).groupBy("c").agg(F.sum("n").alias("n"), F.sum("share").alias("share")).toPandas()
+    records, sources = next(((int(n), x) for c, n, x in zip(rows["c"], rows["n"], rows["share"]) if c == -1), (0, 1.0))
+    return {chr(c): max(1.0, min(float(n), x / sources * records)) for c, n, x in zip(rows["c"], rows["n"], rows["share"]) if c >= 0}, records
 
 
 def pair_counts(texts: DataFrame, most_pairs: int) -> dict[str, int]:
@@ -92,7 +106,7 @@ def pair_counts(texts: DataFrame, most_pairs: int) -> dict[str, int]:
 class Channel:
     """Log frequencies of characters, and the readings of a garbled line."""
 
-    def __init__(self, counts: dict[str, int], records: int, pairs: dict[str, int] | None = None):
+    def __init__(self, counts: dict[str, float], records: int, pairs: dict[str, int] | None = None):
         self.floor = -np.log(max(records, 2)) - 2.0
         table = np.full(0x110000, self.floor, dtype=np.float32)
         for c, n in counts.items():
@@ -327,8 +341,7 @@ def garbled_lines(texts: DataFrame, margin: float = 1.2, below: float = RARE, mo
     """
     spark = texts.sparkSession
     texts = spread(texts)
-    counts = character_counts(texts)
-    records = texts.count()
+    counts, records = character_counts(texts)
     pairs = {} if rows_only else pair_counts(texts, most_pairs)
     sent = spark.sparkContext.broadcast((counts, records, pairs))
 

@@ -71,9 +71,10 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _page_texts(spark: SparkSession, d: str) -> DataFrame:
+    host = lambda url: F.regexp_extract(F.lower(url), r"^\w+://([^/?#]+)", 1)
     return mojibake.both(
-        mojibake.texts_of(table(spark, d, "fetch_responses"), "fetch_responses", "response_id", "body"),
-        mojibake.texts_of(table(spark, d, "chapter_cache"), "chapter_cache", "cache_id", "content"),
+        mojibake.texts_of(table(spark, d, "fetch_responses"), "fetch_responses", "response_id", "body", host("url")),
+        mojibake.texts_of(table(spark, d, "chapter_cache"), "chapter_cache", "cache_id", "content", host("book_url")),
     )
 
 

@@ -104,3 +104,13 @@ def test_the_search_for_lost_bytes_does_not_depend_on_the_number_of_records():
     for records in (1000, 10**9):
         counts = {c: int(0.5 * records) for c in clean} | {c: int(0.03 * records) for c in bad if c > "\x7f"}
         assert mojibake.Channel(counts, records).restore(bad, 1.2)
+
+
+def test_a_large_source_of_garbled_rows_stays_visible(spark):
+    rng = random.Random(7)
+    line = lambda: "他从临云台赶来，众人都看着破旧的竹简，再也没有提过那场大火。第%d号弟子送来书匣。" % rng.randrange(999)
+    rows = [(k, line(), f"s{k % 12}") for k in range(240)] + [(1000 + k, garble(line(), "latin-1"), "hot") for k in range(120)]
+    d = spark.createDataFrame(rows, "id bigint, body string, host string")
+    texts = mojibake.texts_of(d, "t", "id", "body", F.col("host"))
+    for rows_only in (True, False):
+        assert {r["row_id"] for r in mojibake.garbled_lines(texts, rows_only=rows_only).collect()} == set(range(1000, 1120))
