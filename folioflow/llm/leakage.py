@@ -8,11 +8,12 @@ stepping over single changed words. A document shows an item if its two best
 stretches hold 40 ideographs or 20 words. Every shared span of window + k - 1
 tokens is certain to be met by a fingerprint.
 
-Stock phrases tell nothing: a k-gram of an item is stock if several items have it,
+Stock phrases tell nothing: a k-gram of an item is stock if several items of different text have it,
 or if far more documents hold it than hold the item's usual gram (a passage that
 leaked into many documents raises all its grams alike, so it stays specific).
 Document counts of the items' grams are taken over all documents; a stretch counts
-only if enough of its grams are specific.
+only if enough of its grams are specific, or if an unchanged run in it is long
+enough to show the item alone, however many documents hold it.
 
 The items are the stated query set: they are taken in blocks of at most
 `block_items`, each block small enough to be sent to all tasks, and every block
@@ -49,11 +50,8 @@ def _is_han(ids: np.ndarray) -> np.ndarray:
 _NONE = np.uint64(2**64 - 1)
 
 
-def fingerprints(ids: np.ndarray, stock: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, positions) of both families: grams of ideographs, and grams of words.
-
-    Sorted stock grams are passed over alike on both sides, so the choice stays local.
-    """
+def fingerprints(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, positions) of both families: grams of ideographs, and grams of words."""
     han = _is_han(ids)
     out_h, out_p = [], []
     for (k, window, _, _), cjk in ((CJK, True), (WORDS, False)):
@@ -64,8 +62,6 @@ def fingerprints(ids: np.ndarray, stock: np.ndarray | None = None) -> tuple[np.n
         if not fits.any():
             continue
         h = gram_hashes(ids, k)
-        if stock is not None and len(stock):
-            fits &= stock[np.minimum(np.searchsorted(stock, h), len(stock) - 1)] != h
         at = winnow(np.where(fits, h, _NONE), window)
         at = at[fits[at]]
         out_h.append(h[at])
@@ -115,15 +111,16 @@ def stretches(doc: list[int], item: list[int], seeds: list[tuple[int, int]], anc
     return found
 
 
-def best_two(found: list[tuple[int, int, int, list[int]]], specific: np.ndarray, k: int, least_specific: float) -> list[tuple[int, int, int]]:
-    """The two longest stretches of enough specific grams that overlap neither in the document nor in the item."""
+def best_two(found: list[tuple[int, int, int, list[int]]], specific: np.ndarray, k: int, least_specific: float, least: int) -> list[tuple[int, int, int]]:
+    """The two longest stretches that overlap neither in the document nor in the item, each of enough specific grams or with an unchanged run of `least` tokens."""
     best: list[tuple[int, int, int, int, int]] = []
     for size, first, last, at in sorted(found, key=lambda s: -s[0]):
         if any(first <= b[2] and b[1] <= last or at[0] <= b[4] and b[3] <= at[-1] for b in best):
             continue
         place = np.array(at)
         whole = place[: len(place) - k + 1][place[k - 1 :] - place[: len(place) - k + 1] == k - 1] if len(place) >= k else place[:0]
-        if len(whole) and specific[whole].mean() >= least_specific:
+        alone = len(place) >= least and bool((place[least - 1 :] - place[: len(place) - least + 1] == least - 1).any())
+        if alone or len(whole) and specific[whole].mean() >= least_specific:
             best.append((size, first, last, at[0], at[-1]))
             if len(best) == 2:
                 break
@@ -188,25 +185,24 @@ def _held_against(corpus: DataFrame, block: list[tuple[int, str]], table: dict[i
     docs = np.zeros(len(every), dtype=np.int64)
     docs[counted["gram"].to_numpy(dtype=np.int64)] = counted["docs"].to_numpy(dtype=np.int64)
     places = [np.searchsorted(every, g) for g in grams]
-    owners = np.bincount(np.concatenate([np.unique(p) for p in places]), minlength=len(every)) if places else docs
+    # an item repeated under another id owns its grams once
+    distinct = {t.tobytes(): np.unique(p) for t, p in zip(tokens, places)}
+    owners = np.bincount(np.concatenate(list(distinct.values())), minlength=len(every)) if places else docs
     specific = []
     for p in places:
         usual = np.median(docs[p]) if len(p) else 0
         specific.append((owners[p] <= 2) & (docs[p] <= max(3.0, 3.0 * usual)))
-    own = np.zeros(len(every), dtype=bool)
-    for p, kept in zip(places, specific):
-        own[p[kept]] = True
-    return corpus.mapInPandas(_matcher(spark, block, tokens, specific, every[~own], table, least_han, least_words, least_specific), SCHEMA)
+    return corpus.mapInPandas(_matcher(spark, block, tokens, specific, table, least_han, least_words, least_specific), SCHEMA)
 
 
-def _matcher(spark, block: list[tuple[int, str]], tokens: list[np.ndarray], specific: list[np.ndarray], stock: np.ndarray, table: dict[int, str], least_han: int, least_words: int, least_specific: float):
-    sent = spark.sparkContext.broadcast(([key for key, _ in block], tokens, specific, stock))
+def _matcher(spark, block: list[tuple[int, str]], tokens: list[np.ndarray], specific: list[np.ndarray], table: dict[int, str], least_han: int, least_words: int, least_specific: float):
+    sent = spark.sparkContext.broadcast(([key for key, _ in block], tokens, specific))
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, tokens, specific, stock = sent.value
+        ids, tokens, specific = sent.value
         hashes, owners, places = [], [], []
         for n, t in enumerate(tokens):
-            h, p = fingerprints(t, stock)
+            h, p = fingerprints(t)
             hashes.append(h)
             places.append(p)
             owners.append(np.full(len(h), n))
@@ -218,7 +214,7 @@ def _matcher(spark, block: list[tuple[int, str]], tokens: list[np.ndarray], spec
             out = []
             for key, text in zip(batch["doc_id"], batch["text"]):
                 t = token_ids(TOKEN.findall(folded(text, table)))
-                h, p = fingerprints(t, stock)
+                h, p = fingerprints(t)
                 low, high = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
                 hit = np.flatnonzero(high > low)
                 if not len(hit):
@@ -233,11 +229,12 @@ def _matcher(spark, block: list[tuple[int, str]], tokens: list[np.ndarray], spec
                         as_lists[n] = tokens[n].tolist()
                     cjk = _mostly_han(tokens[n])
                     k, _, anchor, most = CJK if cjk else WORDS
-                    best = best_two(stretches(doc, as_lists[n], pairs, anchor, most), specific[n], k, least_specific)
+                    least = least_han if cjk else least_words
+                    best = best_two(stretches(doc, as_lists[n], pairs, anchor, most), specific[n], k, least_specific, least)
                     if not best:
                         continue
                     total = sum(s[0] for s in best)
-                    if total >= (least_han if cjk else least_words):
+                    if total >= least:
                         out.append((key, ids[n], total, len(best), min(s[1] for s in best)))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "matched", "stretches", "first_token"])
 

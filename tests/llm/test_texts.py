@@ -49,6 +49,17 @@ def test_leaks_whole_partial_and_changed(spark):
     assert sorted((r["doc_id"], r["item_id"]) for r in leakage.find_leaks(d, e, block_items=2).collect()) == got
 
 
+def test_leaks_in_many_documents_and_of_repeated_items(spark):
+    rng = random.Random(8)
+    item, again = words(rng, 80), words(rng, 60)
+    part = " ".join(item.split()[20:45])
+    docs = [(k, f"{words(rng, 30)} {part} {words(rng, 30)}") for k in range(12)] + [(20, f"{words(rng, 20)} {again}")]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    e = spark.createDataFrame([(0, item), (1, again), (2, again), (3, again)], "item_id bigint, text string")
+    got = sorted((r["doc_id"], r["item_id"]) for r in leakage.find_leaks(d, e).collect())
+    assert got == [(k, 0) for k in range(12)] + [(20, 1), (20, 2), (20, 3)]
+
+
 def test_truncation(spark):
     rng = random.Random(2)
     sentence = lambda: f"The {rng.choice(['smith', 'pilot', 'baker'])} of the valley kept the {rng.choice(['silver', 'broken', 'little'])} lantern behind the door."
