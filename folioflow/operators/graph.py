@@ -42,21 +42,21 @@ def circle(rank: Column, total: Column, radius: float) -> tuple[Column, Column]:
     return rounded(radius * F.cos(angle)), rounded(radius * F.sin(angle))
 
 
-def hierarchy(places: DataFrame, most_depth: int = 32) -> DataFrame:
-    """(name, depth, path) of a forest given by name and parent.
+def hierarchy(places: DataFrame) -> DataFrame:
+    """(name, depth, path) of a forest given by name and parent (the walk of K13).
 
-    Each round joins one level to the next; a place met again on its own path ends
-    its branch, and places on a cycle become roots at their least name.
+    Each round joins one level to the next until a level is empty. A place has one
+    parent, so none below a root is on a cycle; places on or below a cycle become roots.
     """
     p = written(places.select("name", F.col("parent").alias("parent")).dropDuplicates(["name"]), "places")
     real = p.join(p.select(F.col("name").alias("parent")), "parent", "left_semi").select("name", "parent").filter(F.col("name") != F.col("parent"))
     level = p.join(real.select("name"), "name", "left_anti").select("name", F.lit(0).alias("depth"), F.col("name").alias("path"))
-    out, depth = level, 0
-    while depth < most_depth:
+    out = level
+    while True:
         level = written(real.join(level.select(F.col("name").alias("parent"), "depth", "path"), "parent").select("name", (F.col("depth") + 1).alias("depth"), F.concat_ws("/", "path", "name").alias("path")), "level")
         if level.isEmpty():
             break
-        out, depth = out.unionByName(level), depth + 1
+        out = out.unionByName(level)
     circular = p.join(out.select("name"), "name", "left_anti").select("name", F.lit(0).alias("depth"), F.col("name").alias("path"))
     return out.unionByName(circular)
 

@@ -112,6 +112,11 @@ def test_graph(spark):
     assert rows(graph.hierarchy(p), "name", "depth", "path") == [("m", 0, "m"), ("n", 0, "n"), ("o", 0, "o"), ("r", 0, "r"), ("x", 1, "r/x"), ("y", 2, "r/x/y")]
 
 
+def test_hierarchy_walks_to_the_last_level(spark):
+    p = spark.createDataFrame([(f"p{k:02}", f"p{k - 1:02}" if k else None) for k in range(36)], "name string, parent string")
+    assert {r["name"]: r["depth"] for r in graph.hierarchy(p).collect()} == {f"p{k:02}": k for k in range(36)}
+
+
 def test_imports(spark):
     d = spark.createDataFrame([('[{"a":1},{"b":2},3]',), ('{"bookSources":[{"c":3}]}',), ('{"d":4}',), ("broken",), (None,)], "value string")
     assert sorted(json.dumps(json.loads(r["item"])) for r in imports.objects(d).collect()) == ['{"a": 1}', '{"b": 2}', '{"c": 3}', '{"d": 4}']
