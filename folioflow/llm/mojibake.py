@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.session import spread
+from folioflow.session import spread, written
 
 _TAG = re.compile(r"<[^<>]*>")
 LINES = "table_name string, row_id bigint, line_no int, garbled string, restored string, channel string"
@@ -110,6 +110,7 @@ def corpus_counts(texts: DataFrame, least_share: float) -> tuple[dict[str, float
         yield frame()
 
     counted = texts.select("source", "text").mapInPandas(count, "source string, c bigint, n bigint").groupBy("source", "c").agg(F.sum("n").alias("n"))
+    counted = written(counted, "characters")  # read twice
     total = F.max(F.when(F.col("c") == -1, F.col("n"))).over(Window.partitionBy("source"))
     by_source = counted.filter(F.col("source").isNotNull()).withColumn("share", F.col("n") / total)
     single = by_source.groupBy("c").agg(F.sum("n").alias("n"), F.sum("share").alias("share")).toPandas()  # at most a row per character of Unicode
@@ -167,6 +168,19 @@ class Channel:
         self.vocabulary = [c for c, n in sorted(shares.items(), key=lambda x: (-x[1], x[0])) if c != "\ufffd" and table[ord(c)] > self.floor]
         self.known: dict[str, dict] = {}
         self.torn = _torn()
+        self.cyrillic = float(table[0x400:0x500].max())
+
+    def within_reach(self, text: str, right: str, least: float) -> bool:
+        """Whether a reading in a charset of single bytes can be plausible and score least: what `plausible` asks of it, told from the text."""
+        if right == "cp1252":  # a letter may hide in the second byte of a wide character
+            return sum(c >= "\x80" for c in text) <= sum(c.isascii() and c.isalpha() for c in _TAG.sub("", text))
+        return right not in ("cp1251", "koi8_r") or 0.8 * self.cyrillic > least
+
+    def rarity(self, text: str) -> float:
+        """Mean log share of the characters beyond ASCII; 0 if there are none."""
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        codes = codes[codes >= 0x80]
+        return float(self.table[codes].mean()) if len(codes) else 0.0
 
     def score(self, text: str) -> float:
         """Mean log share of the pairs with a character beyond ASCII; 0 if there are none."""
@@ -292,14 +306,15 @@ class Channel:
             at, c = came, before
         return out[::-1]
 
-    def strict_readings(self, text: str) -> Iterator[tuple[str, str, int]]:
-        """Every way to undo one wrong decoding without loss: (text, channel, 0)."""
+    def strict_readings(self, text: str, least: float) -> Iterator[tuple[str, str, int]]:
+        """Every way to undo one wrong decoding without loss that may score least: (text, channel, 0)."""
+        rights = [r for r in RIGHT if self.within_reach(text, r, least)]
         for wrong in WRONG:
             try:
                 data = text.encode(wrong, "byte_itself" if wrong in SINGLE else "strict")
             except UnicodeEncodeError:
                 continue
-            for right in RIGHT:
+            for right in rights:
                 if right != wrong:
                     try:
                         got = data.decode(right)
@@ -318,7 +333,7 @@ class Channel:
             beyond = sum(b is None or b >= 0x80 for b in lattice)
             for right in LOSSY:
                 # a character takes two known bytes or a lost one, and scores the commonest's share at best
-                if right == wrong or self.top + min(1.0, lost / (lost + (beyond - lost) / 2)) * self.floor <= least:
+                if right == wrong or not self.within_reach(text, right, least) or self.top + min(1.0, lost / (lost + (beyond - lost) / 2)) * self.floor <= least:
                     continue
                 # the known bytes must already fit the charset but for what the lost ones break, and read well
                 rough = bytes(0xA1 if b is None else b for b in lattice).decode(right, "replace")
@@ -328,25 +343,34 @@ class Channel:
                 if got and got != text:
                     yield got, f"{right}>{wrong}", lost
 
-    def twice_readings(self, text: str) -> Iterator[tuple[str, str, int]]:
+    def twice_readings(self, text: str, least: float) -> Iterator[tuple[str, str, int]]:
         """Lossless readings of one step and of two; a first step counts by what it leads to, however it reads itself."""
-        for got, channel, lost in self.strict_readings(text):
+        for got, channel, lost in self.strict_readings(text, least):
             yield got, channel, lost
             if channel.startswith("utf_8>"):
-                for again, second, _ in self.strict_readings(got):
+                for again, second, _ in self.strict_readings(got, least):
                     if again != text:
                         yield again, f"{second}+{channel}", 0
 
-    def restore(self, text: str, margin: float, depth: int = 2, lossy: bool = True) -> tuple[str, str] | None:
-        """The likeliest reading and its channel, if it beats the text by the margin."""
-        own = self.score(text)
-        best = self._best(text, own + margin, self.twice_readings(text)) if "\ufffd" not in text else None
-        if best is None and lossy and own < RARE:
-            best = self._best(text, own + margin, self.lossy_readings(text, own + margin))
-            again = self.restore(best[0], margin, depth - 1, lossy) if best and depth > 1 else None
+    def lossless(self, text: str, margin: float) -> tuple[str, str] | None:
+        """The likeliest reading without lost bytes and its channel, if it beats the text by the margin."""
+        least = self.score(text) + margin
+        return self._best(text, least, self.twice_readings(text, least)) if "\ufffd" not in text else None
+
+    def searched(self, text: str, margin: float, depth: int = 2) -> tuple[str, str] | None:
+        """The likeliest reading with lost bytes, undone once more where that is likelier still."""
+        best = None
+        if self.rarity(text) < RARE:
+            least = self.score(text) + margin
+            best = self._best(text, least, self.lossy_readings(text, least))
+            again = self.restore(best[0], margin, depth - 1) if best and depth > 1 else None
             best = (again[0], f"{again[1]}+{best[1]}") if again else best
         return best if best is not None else self.fill_lost(text)
 
+    def restore(self, text: str, margin: float, depth: int = 2) -> tuple[str, str] | None:
+        """The likeliest reading and its channel, if it beats the text by the margin."""
+        return self.lossless(text, margin) or self.searched(text, margin, depth)
+
     def _best(self, text: str, least: float, readings: Iterator[tuple[str, str, int]]) -> tuple[str, str] | None:
         best = None
         for got, channel, lost in readings:
@@ -418,7 +442,7 @@ def garbled_lines(texts: DataFrame, margin: float = 1.2, below: float = RARE, le
         def restored(line: str, lossy: bool) -> tuple[str, str] | None:
             if (line, lossy) in seen:
                 return seen[line, lossy]
-            got = channel.restore(line, margin, lossy=lossy)
+            got = channel.searched(line, margin) if lossy else channel.lossless(line, margin)
             if len(seen) < 100_000:
                 seen[line, lossy] = got
             return got
@@ -431,7 +455,7 @@ def garbled_lines(texts: DataFrame, margin: float = 1.2, below: float = RARE, le
             for k in at:
                 if restored(lines[k], False):
                     return k
-            return next((k for k in sorted(at, key=lambda k: channel.score(lines[k])) if restored(lines[k], True)), None)
+            return next((k for k in sorted(at, key=lambda k: channel.rarity(lines[k])) if restored(lines[k], True)), None)
 
         for batch in batches:
             out = []
@@ -446,7 +470,7 @@ def garbled_lines(texts: DataFrame, margin: float = 1.2, below: float = RARE, le
                         out.append((name, row_id, k, lines[k], None, None))
                     continue
                 for k in at:
-                    got = restored(lines[k], True)
+                    got = restored(lines[k], False) or restored(lines[k], True)
                     if got or "\ufffd" in lines[k]:
                         out.append((name, row_id, k, lines[k], got[0] if got else None, got[1] if got else None))
             yield pd.DataFrame(out, columns=["table_name", "row_id", "line_no", "garbled", "restored", "channel"])
