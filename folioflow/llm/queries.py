@@ -135,33 +135,42 @@ def _lookalike_sql() -> str:
 
 def _truncation_sql(share: bool) -> str:
     """cut_documents in SQL: the same counts, joins and verdict."""
-    t, blank = truncation, "[\\s　\u00a0\ufeff]"
-    mark, broken, dots, closed, ender, quote = (x.replace("'", "''") for x in (t._MARK, t._BROKEN, t._DOTS, t._CLOSED, f"^[{''.join(t.ENDERS)}]$", f"^[{''.join(t.QUOTES)}]$"))
+    t = truncation
+    quoted = lambda x: x.replace("'", "''")
+    blanks, quotes = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(12288) || chr(160) || chr(65279)", quoted("".join(t.QUOTES))
     letter = r"[\p{Latin}\p{Greek}\p{Cyrillic}\p{Hiragana}\p{Katakana}\p{Hangul}\p{M}]"
     word = rf"({letter}+(?:[’''\-]{letter}+)*|\p{{Han}}|#|\n|[^\s\p{{L}}\p{{M}}])"
     head = r"^\s*([\p{L}\p{M}]{1,3}[:：]|\p{Han}{1,3}[^\p{Han}\p{L}]?|[^\s:：#]+(?:\s[^\s:：#]+)?[:：#]?|.)"
-    trim = lambda x: f"regexp_replace({x}, '^{blank}+|{blank}+$', '', 'g')"
     low = lambda x: f"regexp_replace(lower({x}), '[0-9]+', '#', 'g')"
+    stem = lambda x: f"rtrim({x}, {blanks} || '{quotes}')"
+    closes = lambda x: rf"(right({stem(x)}, 1) IN ({', '.join(repr(c) for c in t.CLOSERS)}) AND NOT regexp_matches(right({stem(x)}, 3), '(?:^|[^\p{{L}}\p{{M}}])\p{{Latin}}\.$'))"
+    head_of = lambda x: f"regexp_extract({low(f'left({x}, {t._HEAD})')}, '{head}', 1)"
+    marks = lambda words: "greatest(" + ", ".join(f"CASE WHEN ends_with(lower(right(m, 20)), '{w}') THEN {len(w)} ELSE 0 END" for w in words) + ")"
+    is_end = "(d IN (" + ", ".join("chr(10)" if c == "\n" else f"'{c}'" for c in t.ENDERS) + r") AND NOT (d = '.' AND regexp_matches(c, '^\p{Latin}$')))"
     body = rf"""
-        WITH r0 AS (SELECT doc_id, source, {trim('text')} AS t FROM documents), r1 AS (SELECT *, regexp_replace(regexp_replace(t, '{mark}', '', 'g'), '{broken}', '', 'g') AS b FROM r0 WHERE t != ''),
-        r2 AS (SELECT *, b != t AS marked, regexp_matches(b, '{dots}') AS dotted, {trim(f"regexp_replace(b, '{dots}', '', 'g')")} AS bare FROM r1),
-        r AS (SELECT *, regexp_matches(bare, '{closed}') AND NOT dotted AS closed FROM r2),
+        WITH r0 AS (SELECT doc_id, source, trim(text, {blanks}) AS t FROM documents),
+        r1 AS (SELECT *, rtrim(CASE WHEN ends_with(t, '...') THEN rtrim(t, '.') ELSE t END, {blanks} || '…)）]】>') AS m FROM r0 WHERE t != ''),
+        r2 AS (SELECT *, {marks(t.CUT_MARKS)} AS long, {marks(t.SHORT_MARKS)} AS short FROM r1), r3 AS (SELECT *, rtrim(left(m, length(m) - greatest(long, short)), {blanks}) AS y FROM r2),
+        r5 AS (SELECT *, CASE WHEN long > 0 OR (short > 0 AND right(y, 1) IN ('…', '.', '(', '[', '（', '【', '<')) THEN rtrim(rtrim(y, '(（[【<'), {blanks}) ELSE t END AS u FROM r3),
+        r6 AS (SELECT *, rtrim(left(u, greatest(length(u) - {t._MARKUP}, 0)) || regexp_replace(right(u, {t._MARKUP}), '{quoted(t._BROKEN)}', ''), chr(65533)) AS b FROM r5),
+        r7 AS (SELECT *, rtrim(b, '….') AS s, substr(b, length(rtrim(b, '….')) + 1) AS run FROM r6),
+        r8 AS (SELECT *, CASE WHEN contains(run, '…') OR contains(run, '...') THEN run ELSE '' END AS dots FROM r7),
+        r9 AS (SELECT *, trim(CASE WHEN dots != '' THEN s ELSE b END, {blanks}) AS bare FROM r8),
+        r AS (SELECT doc_id, source, t, bare, dots, b != t AS marked, {closes('bare')} AND dots = '' AS closed FROM r9),
         w AS (SELECT regexp_extract_all({low('CASE WHEN closed THEN t ELSE bare END')}, '{word}', 1) AS w FROM r),
         g AS (SELECT w[i] AS a, w[i + 1] AS b, w[i + 2] AS c, w[i + 3] AS d FROM (SELECT w, unnest(range(1, len(w) - 2)) AS i FROM w WHERE len(w) >= 4)),
-        e AS (SELECT a, b, c, CASE WHEN regexp_matches(d, '{ender}') AND NOT (d = '.' AND regexp_matches(c, '^\p{{Latin}}$')) THEN 1 ELSE 0 END AS ending FROM g WHERE NOT (regexp_matches(c, '{ender}') OR regexp_matches(c, '{quote}'))),
-        n AS (SELECT gram, sum(ending) AS ending, sum(1 - ending) AS inside FROM (SELECT unnest([a || ' ' || b || ' ' || c, b || ' ' || c, c]) AS gram, ending FROM e) GROUP BY 1),
-        l AS (SELECT closed, s[i] AS line, i = len(s) AND len(s) > 1 AND NOT regexp_matches(s[i], '{closed}') AS is_last FROM (SELECT closed, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT closed, string_split_regex(t, '\n+') AS s FROM r))),
-        h AS (SELECT regexp_extract({low('line')}, '{head}', 1) AS head, count(*) FILTER (is_last) AS last, count(*) FILTER (NOT is_last) AS other FROM l GROUP BY 1),
-        u AS (SELECT unnest(regexp_extract_all(t, '((?:…|\.{{3}})+)', 1)) AS dots, regexp_extract(t, '({dots})', 1) AS at_end FROM r),
-        v AS (SELECT dots, count(*) > 3 * count(*) FILTER (at_end = dots) AS dots_inside FROM u WHERE length(dots) <= 6 GROUP BY 1),
-        o AS (SELECT doc_id, source, marked, dotted, regexp_extract(t, '({dots})', 1) AS dots, string_split_regex(t, '\n+')[-1] AS line, contains(t, chr(10)) AS manylines,
-                     list_filter(regexp_extract_all({low('bare')}, '{word}', 1), lambda x: x != chr(10)) AS w FROM r WHERE NOT closed),
-        q AS (SELECT *, regexp_extract({low('line')}, '{head}', 1) AS head, CASE WHEN len(w) >= 3 THEN w[-3] || ' ' || w[-2] || ' ' || w[-1] END AS g3, CASE WHEN len(w) >= 2 THEN w[-2] || ' ' || w[-1] END AS g2, CASE WHEN len(w) >= 1 THEN w[-1] END AS g1 FROM o),
-        j AS (SELECT q.*, h.last, h.other, v.dots_inside, n3.ending AS e3, coalesce(n3.ending + n3.inside, 0) AS n3, n2.ending AS e2, coalesce(n2.ending + n2.inside, 0) AS n2, n1.ending AS e1, coalesce(n1.ending + n1.inside, 0) AS n1
+        e AS (SELECT a, b, c, CASE WHEN {is_end} THEN 1 ELSE 0 END AS ending, CASE WHEN d = chr(10) THEN 1 ELSE 0 END AS bare FROM g),
+        n AS (SELECT gram, count(*) AS n, sum(ending) AS ending, sum(bare) AS bare FROM (SELECT unnest([a || ' ' || b || ' ' || c, b || ' ' || c, c]) AS gram, ending, bare FROM e) GROUP BY 1),
+        l AS (SELECT {head_of('s[i]')} AS head, i = len(s) AS at_end, len(s) > 1 AS several, {closes('s[i]')} AS closes FROM (SELECT s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT list_filter(string_split(t, chr(10)), lambda z: z != '') AS s FROM r))),
+        h AS (SELECT head, count(*) FILTER (at_end AND several AND NOT closes) AS last, count(*) FILTER (NOT (at_end AND several AND NOT closes)) AS other, count(*) FILTER (NOT at_end AND NOT closes) AS open_inside, count(*) FILTER (NOT at_end AND closes) AS closed_inside FROM l GROUP BY 1),
+        v AS (SELECT run AS dots, count(*) > 3 * count(*) FILTER (dots = run) AS dots_inside FROM (SELECT unnest(regexp_extract_all(t, '((?:…|\.{{3}})+)', 1)) AS run, dots FROM r) WHERE length(run) <= 6 GROUP BY 1),
+        o AS (SELECT doc_id, source, marked, dots, list_filter(string_split(t, chr(10)), lambda z: z != '')[-1] AS line, contains(t, chr(10)) AS manylines, list_filter(regexp_extract_all({low('bare')}, '{word}', 1), lambda z: z != chr(10)) AS w FROM r WHERE NOT closed),
+        q AS (SELECT *, {head_of('line')} AS head, CASE WHEN len(w) >= 3 THEN w[-3] || ' ' || w[-2] || ' ' || w[-1] END AS g3, CASE WHEN len(w) >= 2 THEN w[-2] || ' ' || w[-1] END AS g2, CASE WHEN len(w) >= 1 THEN w[-1] END AS g1 FROM o),
+        j AS (SELECT q.*, h.last, h.other, h.open_inside, h.closed_inside, v.dots_inside, n3.n AS n3, n3.ending AS e3, n3.bare AS b3, n2.n AS n2, n2.bare AS b2, n1.n AS n1, n1.bare AS b1
               FROM q LEFT JOIN h USING (head) LEFT JOIN v USING (dots) LEFT JOIN n n3 ON n3.gram = g3 LEFT JOIN n n2 ON n2.gram = g2 LEFT JOIN n n1 ON n1.gram = g1),
-        k AS (SELECT *, CASE WHEN n3 >= 4 THEN e3 / n3 WHEN n2 >= 4 THEN e2 / n2 WHEN n1 >= 4 THEN e1 / n1 ELSE 0.0 END AS spoken FROM j),
-        f AS (SELECT doc_id, source, coalesce(CASE WHEN marked THEN spoken <= 0.5 WHEN manylines AND length(line) <= 80 AND last >= 3 AND last > 2 * other THEN false
-                     WHEN dotted AND dots_inside THEN n3 >= 20 AND e3 / n3 <= 0.025 WHEN dotted THEN spoken <= 0.5 ELSE NOT (n3 >= 4 AND e3 / n3 > 0.5) END, true) AS cut FROM k
+        k AS (SELECT *, CASE WHEN n3 >= 4 THEN b3 / n3 WHEN n2 >= 4 THEN b2 / n2 WHEN n1 >= 4 THEN b1 / n1 ELSE 0.0 END AS spoken FROM j),
+        f AS (SELECT doc_id, source, coalesce(CASE WHEN marked THEN spoken <= 0.25 WHEN manylines AND length(line) <= 80 AND ((last >= 3 AND last > 2 * other) OR (open_inside >= 4 AND open_inside > 4 * closed_inside)) THEN false
+                     WHEN dots_inside THEN n3 >= 20 AND e3 / n3 <= 0.025 ELSE spoken <= 0.25 END, false) AS cut FROM k
               UNION ALL SELECT doc_id, source, false FROM r WHERE closed)
     """
     if share:

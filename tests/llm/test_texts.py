@@ -143,3 +143,35 @@ def test_one_to_one_factors_decide_between_rivals(spark):
     d = spark.createDataFrame([(1, 2, 10, 20, 3.0), (1, 3, 10, 20, 2.0), (4, 3, 10, 20, 2.5)], "a bigint, b bigint, oa bigint, ob bigint, prior double")
     belief = {(r["a"], r["b"]): r["belief"] for r in matching.propagate(d, iterations=20).collect()}
     assert belief[1, 2] > 0 and belief[4, 3] > 0 and belief[1, 3] < 0
+
+
+def test_planted_cuts_are_found_in_real_documents(spark, sf_dir):
+    """Closed documents of the table, every fifth cut within a word or sentence, some with a mark; lists and signatures stay whole."""
+    from folioflow.sources.tables import table
+
+    rng, rows, planted = random.Random(5), [], set()
+    docs = table(spark, sf_dir.replace("0.001", "0.01"), "documents")
+    whole = {r["doc_id"] for r in truncation.cut_documents(docs).collect() if not r["cut"]}
+    for r in docs.select("doc_id", "text", "source").collect():
+        if r["doc_id"] not in whole:
+            continue
+        t = r["text"]
+        if r["doc_id"] % 5 == 0 and len(t) > 60 and t.strip()[-1] in "。.！!？?":
+            at = rng.randrange(30, len(t) - 1)
+            while at > 10 and not (t[at - 1].isalpha() and t[at].isalpha()):
+                at -= 1
+            if at > 10 and "\n" not in t[at - 10 : at + 1]:
+                t = t[:at] + rng.choice(["", "", "…", "……阅读全文", " (continue reading)"])
+                planted.add(r["doc_id"])
+        rows.append((r["doc_id"], t, r["source"]))
+    out = truncation.cut_documents(spark.createDataFrame(rows, "doc_id bigint, text string, source string"))
+    got = {r["doc_id"] for r in out.collect() if r["cut"]}
+    both = len(got & planted)
+    assert len(planted) > 50 and both >= 0.95 * len(planted) and both >= 0.95 * len(got), (len(planted), len(got), both)
+
+
+def test_marks_behind_long_runs_and_words_like_marks(spark):
+    body = "The pilot of the valley kept the silver lantern behind the door. "
+    rows = [(k, body * 3, "s") for k in range(30)] + [(100, body + "The pilot of the val" + "." * 700, "s"), (101, body + "The pilot of" + " " * 900 + "(read more)", "s"), (102, body + "He said nothing more.", "s"), (103, body + "x" * 900 + " of", "s")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    assert {r["doc_id"] for r in truncation.cut_documents(d).collect() if r["cut"]} == {100, 101, 103}
