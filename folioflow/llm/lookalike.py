@@ -26,6 +26,8 @@ from functools import cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.session import written
+
 # Look-alike letters, each with the Latin letter it resembles.
 CYRILLIC = "АВЕЅІЈКМНОРСТУХаеѕіјорсухһԁԛԝ"
 CYRILLIC_AS_LATIN = "ABESIJKMHOPCTYXaesijopcyxhdqw"
@@ -48,7 +50,6 @@ _EDGE = r"(?<![\p{IsLatin}\p{IsCyrillic}\p{IsGreek}\p{M}])"
 _END = r"(?![\p{IsLatin}\p{IsCyrillic}\p{IsGreek}\p{M}])"
 MIXED_WORD = rf"\p{{IsLatin}}\p{{M}}*[{_OTHER}]|[{_OTHER}]\p{{M}}*\p{{IsLatin}}|\p{{IsGreek}}\p{{M}}*\p{{IsCyrillic}}|\p{{IsCyrillic}}\p{{M}}*\p{{IsGreek}}"
 FOREIGN_WORD = rf"{_EDGE}[{CYRILLIC}{GREEK}]+{_END}"
-LATIN_IN_CYRILLIC = rf"{_EDGE}[{LATIN_AS_CYRILLIC}]+{_END}"
 
 
 @cache
@@ -129,13 +130,9 @@ def is_dirty(value: Column) -> Column:
 
 
 def _mixes_scripts(shown: Column) -> Column:
-    latin, other = _count(shown, r"\p{IsLatin}"), _count(shown, rf"[{_OTHER}]")
-    unlike = _has(shown, rf"[{_OTHER}&&[^{CYRILLIC}{GREEK}]]")
-    return (
-        _has(shown, MIXED_WORD)
-        | (~unlike & ((latin > 0) | _has(shown, r"\p{IsHan}")) & _has(shown, FOREIGN_WORD))
-        | ((other > latin) & unlike & _has(shown, LATIN_IN_CYRILLIC) & (latin < 3))
-    )
+    latin, unlike = _count(shown, r"\p{IsLatin}"), _has(shown, rf"[{_OTHER}&&[^{CYRILLIC}{GREEK}]]")
+    # a Latin word of look-alikes beside Cyrillic ones is no mixture: a numeral of the series
+    return _has(shown, MIXED_WORD) | (~unlike & ((latin > 0) | _has(shown, r"\p{IsHan}")) & _has(shown, FOREIGN_WORD))
 
 
 def values_of(df: DataFrame, table_name: str, id_col: str, fields: list[str]) -> DataFrame:
@@ -161,8 +158,18 @@ def canonical_forms(values: DataFrame) -> DataFrame:
     return values.join(classes(values), "value").select("table_name", "row_id", "field_name", "value", "canonical", "dirty")
 
 
-def lookalike_rows(values: DataFrame) -> DataFrame:
-    """The dirty rows only; the join back carries no clean row."""
-    found = classes(values).filter("dirty").select(F.col("value").alias("v"), "canonical")
-    dirty = values.filter(is_dirty(F.col("value")))
-    return dirty.join(found, dirty["value"] == found["v"]).select("table_name", "row_id", "field_name", "value", "canonical")
+def _plainly(value: Column) -> Column:
+    """A value without what members of a class may rightly differ in: case, and punctuation of either width."""
+    return F.lower(F.regexp_replace(value, r"[\p{P}\p{S}]", ""))
+
+
+def lookalike_rows(values: DataFrame, broadcast_values: int = 200_000) -> DataFrame:
+    """The rows whose value is not what the canonical member of its class shows.
+
+    Values are told apart from their canonical member once each; those that differ are
+    counted, and up to broadcast_values of them are broadcast to the rows.
+    """
+    found = classes(values).filter(_plainly(F.col("value")) != _plainly(F.col("canonical"))).select(F.col("value").alias("v"), "canonical")
+    found = written(found, "lookalikes")
+    found = F.broadcast(found) if found.count() <= broadcast_values else found
+    return values.join(found, values["value"] == found["v"]).select("table_name", "row_id", "field_name", "value", "canonical")

@@ -128,8 +128,7 @@ def _lookalike_sql() -> str:
                           len(regexp_extract_all(x, '[\p{{Cyrillic}}\p{{Greek}}]')) > len(regexp_extract_all(x, '[{same}]')) AS unlike FROM s)
         SELECT table_name, row_id, field_name FROM c
         WHERE regexp_matches(value, '{plain}') OR (other > 0 AND (regexp_matches(x, '{re2(lookalike.MIXED_WORD)}')
-            OR (NOT unlike AND (latin > 0 OR regexp_matches(x, '\p{{Han}}')) AND regexp_matches(x, '{word(same)}'))
-            OR (other > latin AND unlike AND latin < 3 AND regexp_matches(x, '{word(lookalike.LATIN_AS_CYRILLIC)}'))))
+            OR (NOT unlike AND (latin > 0 OR regexp_matches(x, '\p{{Han}}')) AND regexp_matches(x, '{word(same)}'))))
     """
 
 
