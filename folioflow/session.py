@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -29,11 +30,14 @@ def build_session(app: str = "folioflow", master: str | None = None, **conf: str
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is unset (local tests) a temporary folder is made.
+    Where that setting is unset a temporary folder is made, which only a session in one
+    JVM may have: on a cluster the tasks of other machines could not reach it.
     """
     if spark.sparkContext.getCheckpointDir():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="folioflow-ckpt-"))
 
 
@@ -62,11 +66,15 @@ def default_parallelism(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame, at_least: int | None = None) -> DataFrame:
-    """Repartition only when the scan yields fewer partitions than there are cores.
+    """Repartition only when a scan yields fewer partitions than there are cores.
 
-    Python stages over one small file would otherwise run in a single task.
+    Python stages over one small file would otherwise run in a single task. Asked of
+    scans and what is made of them row by row: counting the partitions of an adaptive
+    join or aggregation would run its shuffles, so those are left as they are.
     """
     want = at_least or default_parallelism(df.sparkSession)
+    if df._jdf.queryExecution().executedPlan().toString().startswith("AdaptiveSparkPlan"):
+        return df
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
 
 
