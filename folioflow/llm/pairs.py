@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.session import spread
+from folioflow.session import spread, written
 
 LABELS = ["empty", "truncated", "refusal", "copied", "other_language"]
 SCHEMA = "summary_id bigint, defect string, margin double"
@@ -66,6 +66,7 @@ COMMON = {
     "it": "il che di non gli una per con del della sono era alla anche come piu nel".split(),
 }
 
+_NO_LETTER = re.compile(r"[\W_]+")
 _HAN = re.compile("[㐀-鿿]")
 _LATIN = re.compile(r"[^\W\d_㐀-鿿]+")
 _SENTENCE = re.compile(r"[^。！？!?.…\n]+[。！？!?.…]*[”’\"»]?")
@@ -92,7 +93,7 @@ def _grams(codes: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
 
 
 def _letters(text: str) -> str:
-    return "".join(c for c in text.lower() if c.isalnum())
+    return _NO_LETTER.sub("", text.lower())
 
 
 def _han_share(text: str) -> float:
@@ -123,8 +124,8 @@ class Pair:
     """What the features of a pair are made from; the content's part is shared by made variants."""
 
     def __init__(self, content: str):
-        self.grams = np.unique(_grams(_codes(_letters(content)), GRAM))
-        self.two = np.unique(_grams(_codes(_letters(content)), 2))
+        codes = _codes(_letters(content))
+        self.grams, self.two = np.unique(_grams(codes, GRAM)), np.unique(_grams(codes, 2))
         self.han = _han_share(content)
         self.language = language(content)
         self.long = {w for w in _LATIN.findall(content.lower()) if len(w) > 4}
@@ -199,9 +200,8 @@ class Model:
         return (LABELS[k], float(margins[k])) if margins[k] > 0 else (None, float(margins[k]))
 
 
-def _made(rng: np.random.Generator, rows: list[tuple[str, list[str], str]]) -> Iterator[tuple[Pair, str, list[str], int]]:
+def _made(rng: np.random.Generator, rows: list[tuple[str, list[str], str]], pairs: list[Pair]) -> Iterator[tuple[Pair, str, list[str], int]]:
     """(pair, summary, points, label or -1) of every sound row and its made defects."""
-    pairs = [Pair(c) for _, _, c in rows]
     others = list(range(len(rows)))
     for (summary, points, content), pair in zip(rows, pairs):
         yield pair, summary, points, -1
@@ -286,36 +286,41 @@ def _looks_sound(pair: Pair, summary: str, points: list[str]) -> bool:
 
 def train(rows: list[tuple[str, list[str], str]], seed: int = 7) -> Model:
     """Two rounds: the second leaves out rows the first finds defective."""
-    model = None
-    for _ in range(2):
+    model, pairs = None, [Pair(c) for _, _, c in rows]
+    plain = [k for k, (s, p, _) in enumerate(rows) if _looks_sound(pairs[k], s, p)]
+    own = {k: features(pairs[k], rows[k][0], rows[k][1]) for k in plain}
+    for steps in (100, 250):  # the first round only tells which pairs to leave out
         rng = np.random.default_rng(seed)
-        sound = rows if model is None else [r for r in rows if model.verdict(features(Pair(r[2]), r[0], r[1]))[0] is None]
-        sound = [r for r in sound if _looks_sound(Pair(r[2]), r[0], r[1])]
+        sound = plain if model is None else [k for k in plain if model.verdict(own[k])[0] is None]
         if len(sound) < 20:
             return model or Model(np.zeros((DENSE + 2 * DIM, len(LABELS)), dtype=np.float32), np.full(len(LABELS), 1.0, dtype=np.float32))
         x, y = [], []
-        for pair, summary, points, label in _made(rng, sound):
+        for pair, summary, points, label in _made(rng, [rows[k] for k in sound], [pairs[k] for k in sound]):
             x.append(features(pair, summary, points))
             y.append([float(k == label) for k in range(len(LABELS))])
         x, y = np.array(x), np.array(y, dtype=np.float32)
         held = rng.random(len(x)) < 0.25
-        weights = _fit(x[~held], y[~held])
+        weights = _fit(x[~held], y[~held], steps)
         model = Model(weights, _calibrated(x[held] @ weights, y[held]))
     return model
 
 
 def joined_pairs(answers: DataFrame, requests: DataFrame, keys: tuple[str, ...] = ("user_ns", "book_url", "chapter_url"), id_col: str = "summary_id", summary_col: str = "summary", points_col: str = "key_points", content_col: str = "content", order_col: str = "request_id") -> DataFrame:
     """(summary_id, summary, points, content): every answer with the content of its latest request."""
-    asked = requests.select(*[F.col(k).cast("string").alias(f"k{n}") for n, k in enumerate(keys)], F.struct(F.col(order_col).alias("o"), F.col(content_col).cast("string").alias("c")).alias("r"))
-    latest = asked.groupBy(*[f"k{n}" for n in range(len(keys))]).agg(F.max_by("r.c", "r.o").alias("content"))
+    names = [f"k{n}" for n in range(len(keys))]
+    asked = requests.select(*[F.col(k).cast("string").alias(n) for k, n in zip(keys, names)], F.col(order_col).alias("asked"))
+    latest = asked.groupBy(*names).agg(F.max("asked").alias("asked"))
     given = answers.select(F.col(id_col).cast("bigint").alias("summary_id"), F.coalesce(F.col(summary_col).cast("string"), F.lit("")).alias("summary"), F.coalesce(F.col(points_col), F.array()).cast("array<string>").alias("points"), *[F.col(k).cast("string").alias(f"a{n}") for n, k in enumerate(keys)])
     on = [F.col(f"a{n}").eqNullSafe(F.col(f"k{n}")) for n in range(len(keys))]
-    return given.join(latest, on, "left").select("summary_id", "summary", "points", F.coalesce("content", F.lit("")).alias("content"))
+    # the request is told by its short columns; the contents are shuffled once, to the answers
+    given = given.join(latest, on, "left").select("summary_id", "summary", "points", "asked")
+    contents = requests.select(F.col(order_col).alias("asked"), F.col(content_col).cast("string").alias("content"))
+    return given.join(contents, "asked", "left").select("summary_id", "summary", "points", F.coalesce("content", F.lit("")).alias("content"))
 
 
 def defective_pairs(answers: DataFrame, requests: DataFrame, sample_rows: int = 1200, **columns) -> DataFrame:
     """(summary_id, defect, margin) of every defective answer."""
-    pairs = joined_pairs(answers, requests, **columns)
+    pairs = written(joined_pairs(answers, requests, **columns), "pairs")  # read for the sample and to be scored
     spark = pairs.sparkSession
     ids = answers.select(F.col(columns.get("id_col", "summary_id")).alias("i")).orderBy(F.xxhash64("i"), "i").limit(sample_rows)  # the documented bound of the training sample
     sample = pairs.join(F.broadcast(ids), pairs["summary_id"] == ids["i"], "left_semi").toPandas().sort_values("summary_id")
