@@ -2,23 +2,26 @@
 
 Method: texts become tokens (an ideograph, a word or a number each; case, width,
 accents and traditional forms flattened, punctuation dropped). Of every window of
-k-gram hashes the least is kept, on both sides; equal fingerprints of a document
-and an item are joined, and each hit is extended both ways over equal tokens,
+k-gram hashes the least is kept, on both sides. The fingerprints of documents are
+joined to those of the items, and each hit is extended both ways over equal tokens,
 stepping over single changed words. A document shows an item if its two best
-stretches hold 40 ideographs or 20 words. Every shared span of window + k - 1
-tokens is certain to be met by a fingerprint.
-
-Stock phrases tell nothing: a k-gram of an item is stock if several items of different text have it,
-or if far more documents hold it than hold the item's usual gram (a passage that
-leaked into many documents raises all its grams alike, so it stays specific).
-Document counts of the items' grams are taken over all documents; a stretch counts
-only if enough of its grams are specific, or if an unchanged run in it is long
-enough to show the item alone, however many documents hold it.
-
-The items are the stated query set: they are taken in blocks of at most
-`block_items`, each block small enough to be sent to all tasks, and every block
-is held against all documents in one pass without a shuffle. Fingerprints of
-documents are never gathered.
+stretches hold 40 ideographs or 20 words.
+
+There are two kinds of fingerprints. Long ones, whose window and gram together make
+just 40 ideographs or 20 words, always count: every unchanged shared run of that
+length is certain to be met and found, however many documents hold it. Short ones
+(11 ideographs, 6 words) find shorter stretches and changed ones, and count only if
+they are specific: a fingerprint is stock if items of more than two different texts
+have it, or if far more documents hold it than hold the item's usual fingerprint (a
+passage that leaked into many documents raises all its fingerprints alike, so it
+stays specific). What this costs: two stretches each below the full length, or a
+longer one with changed words, are passed over where the fingerprints in them are
+mostly stock.
+
+Every document is tokenised once for its fingerprints; of these only the ones items
+have leave the scan. Counts and hits are joins and aggregations; only documents with
+a hit that counts are read again to extend it. Neither fingerprints nor items are
+gathered: the items' side of a join is broadcast where its counted rows allow it.
 
 Defined results: null and blank texts show nothing; an item repeated under
 another id gives a row for each; repeated documents each give rows; empty tables
@@ -35,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm._text import TOKEN, fold_table, folded, gram_hashes, simplified_table, token_ids, winnow
-from folioflow.session import spread
+from folioflow.session import spread, written
 
 SCHEMA = "doc_id bigint, item_id bigint, matched int, stretches int, first_token int"
 
@@ -50,25 +53,26 @@ def _is_han(ids: np.ndarray) -> np.ndarray:
 _NONE = np.uint64(2**64 - 1)
 
 
-def fingerprints(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, positions) of both families: grams of ideographs, and grams of words."""
-    han = _is_han(ids)
-    out_h, out_p = [], []
-    for (k, window, _, _), cjk in ((CJK, True), (WORDS, False)):
-        if len(ids) < k:
-            continue
-        share = np.convolve(han.astype(np.int64), np.ones(k, dtype=np.int64), mode="valid")
-        fits = (share * 2 >= k) if cjk else (share * 2 < k)
-        if not fits.any():
-            continue
-        h = gram_hashes(ids, k)
-        at = winnow(np.where(fits, h, _NONE), window)
-        at = at[fits[at]]
-        out_h.append(h[at])
-        out_p.append(at)
-    if not out_h:
-        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
-    return np.concatenate(out_h), np.concatenate(out_p)
+def fingerprints(ids: np.ndarray, least_han: int = 40, least_words: int = 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, positions, whether long) of both families: grams of ideographs, and grams of words."""
+    han = np.concatenate(([0], np.cumsum(_is_han(ids))))
+    out: list[tuple[np.ndarray, np.ndarray, bool]] = []
+    for (k, window, _, _), least, cjk in ((CJK, least_han, True), (WORDS, least_words, False)):
+        long = (least * 5 // 8, least - least * 5 // 8 + 1)
+        for (n, w), is_long in (((k, window), False), (long, True)):
+            if len(ids) < n:
+                continue
+            share = han[n:] - han[:-n]
+            fits = (share * 2 >= n) if cjk else (share * 2 < n)
+            if not fits.any():
+                continue
+            h = gram_hashes(ids, n)
+            at = winnow(np.where(fits, h, _NONE), w)
+            at = at[fits[at]]
+            out.append((h[at], at, is_long))
+    if not out:
+        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64), np.empty(0, dtype=bool)
+    return np.concatenate([h for h, _, _ in out]), np.concatenate([p for _, p, _ in out]), np.concatenate([np.full(len(h), x) for h, _, x in out])
 
 
 def _run(a: list[int], b: list[int], i: int, j: int, step: int, anchor: int, most: int) -> tuple[int, int, list[int]]:
@@ -111,131 +115,98 @@ def stretches(doc: list[int], item: list[int], seeds: list[tuple[int, int]], anc
     return found
 
 
-def best_two(found: list[tuple[int, int, int, list[int]]], specific: np.ndarray, k: int, least_specific: float, least: int) -> list[tuple[int, int, int]]:
-    """The two longest stretches that overlap neither in the document nor in the item, each of enough specific grams or with an unchanged run of `least` tokens."""
+def best_two(found: list[tuple[int, int, int, list[int]]], prints: np.ndarray, specific: np.ndarray, least_specific: float, least: int) -> list[tuple[int, int, int]]:
+    """The two longest stretches that overlap neither in the document nor in the item, each with enough specific fingerprints or an unchanged run of `least` tokens.
+
+    prints, specific: positions of the item's short fingerprints, in order, and which of them are specific.
+    """
     best: list[tuple[int, int, int, int, int]] = []
     for size, first, last, at in sorted(found, key=lambda s: -s[0]):
         if any(first <= b[2] and b[1] <= last or at[0] <= b[4] and b[3] <= at[-1] for b in best):
             continue
         place = np.array(at)
-        whole = place[: len(place) - k + 1][place[k - 1 :] - place[: len(place) - k + 1] == k - 1] if len(place) >= k else place[:0]
         alone = len(place) >= least and bool((place[least - 1 :] - place[: len(place) - least + 1] == least - 1).any())
-        if alone or len(whole) and specific[whole].mean() >= least_specific:
+        held = specific[np.isin(prints, place)]
+        if alone or len(held) and held.mean() >= least_specific:
             best.append((size, first, last, at[0], at[-1]))
             if len(best) == 2:
                 break
     return [b[:3] for b in best]
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", least_han: int = 40, least_words: int = 20, least_specific: float = 0.3, block_items: int = 20_000) -> DataFrame:
-    """(doc_id, item_id, matched, stretches, first_token) of every document that shows an item."""
-    spark = docs.sparkSession
-    table = fold_table(simplified_table(spark))
-    corpus = spread(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(doc_text).cast("string").alias("text")).filter(F.length("text") > 0))
-    asked = items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item_text).cast("string").alias("text")).filter(F.length("text") > 0)
-    blocks, block = [], []
-    for row in asked.toLocalIterator():  # the query set, a block at a time
-        block.append((row["item_id"], row["text"]))
-        if len(block) == block_items:
-            blocks.append(block)
-            block = []
-    if block:
-        blocks.append(block)
-    parts = [_held_against(corpus, b, table, least_han, least_words, least_specific) for b in blocks]
-    if not parts:
-        return spark.createDataFrame([], SCHEMA)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _grams(ids: np.ndarray) -> np.ndarray:
-    """The gram hash at every position, by the family the text is of."""
-    return gram_hashes(ids, CJK[0] if _mostly_han(ids) else WORDS[0])
+def prints_of(texts: DataFrame, table: dict[int, str], least_han: int, least_words: int) -> DataFrame:
+    """(id, gram, place, is_long, anew) of every fingerprint of (id, text); anew: the first of its text with this gram."""
 
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ids, parts = [], []
+            for key, text in zip(batch["id"], batch["text"]):
+                h, p, is_long = fingerprints(token_ids(TOKEN.findall(folded(text, table))), least_han, least_words)
+                anew = np.zeros(len(h), dtype=bool)
+                anew[np.unique(h, return_index=True)[1]] = True
+                ids.append(np.full(len(h), key))
+                parts.append((h.astype(np.int64), p, is_long, anew))
+            columns = [np.concatenate(c) for c in zip(*parts)] if parts else [np.empty(0)] * 4
+            yield pd.DataFrame({"id": np.concatenate(ids) if ids else np.empty(0), "gram": columns[0], "place": columns[1], "is_long": columns[2].astype(bool), "anew": columns[3].astype(bool)}).astype({"id": "int64", "gram": "int64", "place": "int32"})
 
-def _mostly_han(ids: np.ndarray) -> bool:
-    return len(ids) > 0 and bool(_is_han(ids).mean() > 0.5)
+    return texts.mapInPandas(make, "id bigint, gram bigint, place int, is_long boolean, anew boolean")
 
 
-def _held_against(corpus: DataFrame, block: list[tuple[int, str]], table: dict[int, str], least_han: int, least_words: int, least_specific: float) -> DataFrame:
-    spark = corpus.sparkSession
-    tokens = [token_ids(TOKEN.findall(folded(text, table))) for _, text in block]
-    grams = [_grams(t) for t in tokens]
-    every = np.unique(np.concatenate(grams)) if grams else np.empty(0, dtype=np.uint64)
-    sent = spark.sparkContext.broadcast(every)
+def _bounded(df: DataFrame, most: int) -> DataFrame:
+    """A written table, to be broadcast if its counted rows allow it; else its joins shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = sent.value
-        held = np.zeros(len(known), dtype=np.int64)
-        for batch in batches:
-            for text in batch["text"]:
-                t = token_ids(TOKEN.findall(folded(text, table)))
-                for k in (CJK[0], WORDS[0]):
-                    h = np.unique(gram_hashes(t, k))
-                    if len(h) and len(known):
-                        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                        held[at[known[at] == h]] += 1
-        some = np.flatnonzero(held)
-        yield pd.DataFrame({"gram": some, "docs": held[some]})
-
-    # at most as many rows as the block's items have grams, whatever the corpus
-    counted = corpus.select("text").mapInPandas(count, "gram bigint, docs bigint").groupBy("gram").agg(F.sum("docs").alias("docs")).toPandas()
-    docs = np.zeros(len(every), dtype=np.int64)
-    docs[counted["gram"].to_numpy(dtype=np.int64)] = counted["docs"].to_numpy(dtype=np.int64)
-    places = [np.searchsorted(every, g) for g in grams]
-    # an item repeated under another id owns its grams once
-    distinct = {t.tobytes(): np.unique(p) for t, p in zip(tokens, places)}
-    owners = np.bincount(np.concatenate(list(distinct.values())), minlength=len(every)) if places else docs
-    specific = []
-    for p in places:
-        usual = np.median(docs[p]) if len(p) else 0
-        specific.append((owners[p] <= 2) & (docs[p] <= max(3.0, 3.0 * usual)))
-    return corpus.mapInPandas(_matcher(spark, block, tokens, specific, table, least_han, least_words, least_specific), SCHEMA)
-
-
-def _matcher(spark, block: list[tuple[int, str]], tokens: list[np.ndarray], specific: list[np.ndarray], table: dict[int, str], least_han: int, least_words: int, least_specific: float):
-    sent = spark.sparkContext.broadcast(([key for key, _ in block], tokens, specific))
+
+def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", least_han: int = 40, least_words: int = 20, least_specific: float = 0.3, broadcast_rows: int = 500_000) -> DataFrame:
+    """(doc_id, item_id, matched, stretches, first_token) of every document that shows an item."""
+    spark = docs.sparkSession
+    table = fold_table(simplified_table(spark))
+    some = lambda df, key, text: df.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")).filter(F.length("text") > 0)
+    corpus, asked = spread(some(docs, doc_id, doc_text)), some(items, item_id, item_text)
+
+    own = written(prints_of(asked, table, least_han, least_words).join(asked.select("id", F.xxhash64("text").alias("copy")), "id"), "item_prints")
+    grams = own.groupBy("gram").agg(F.count_distinct("copy").alias("owners"))  # an item repeated under another id owns its grams once
+    known = written(prints_of(corpus, table, least_han, least_words).join(_bounded(own.select("gram").distinct(), broadcast_rows), "gram", "left_semi"), "doc_prints")
+    held = known.groupBy("gram").agg(F.count_if("anew").alias("docs"))
+    counted = own.join(grams, "gram").join(held, "gram", "left").withColumn("docs", F.coalesce("docs", F.lit(0)))
+    usual = counted.filter(~F.col("is_long")).groupBy("id").agg(F.median("docs").alias("usual"))
+    counted = counted.join(usual, "id", "left").withColumn("specific", (F.col("owners") <= 2) & (F.col("docs") <= F.greatest(F.lit(3.0), 3 * F.coalesce("usual", F.lit(0.0)))))
+    counted = written(counted.select("id", "gram", "place", "is_long", "specific"), "told_prints")
+
+    telling = counted.filter("is_long or specific").select("gram", F.col("id").alias("item"), F.col("place").alias("there"))
+    hits = known.select("id", "gram", "place").join(_bounded(telling, broadcast_rows), "gram")
+    # one row for a document and an item: as many seeds as the document has fingerprints of this item
+    seeds = written(hits.groupBy("id", "item").agg(F.collect_set(F.struct("place", "there")).alias("seeds")), "seeds")
+    flags = counted.filter(~F.col("is_long")).groupBy(F.col("id").alias("item")).agg(F.array_sort(F.collect_list(F.struct("place", "specific"))).alias("prints"))
+    shown = _bounded(asked.select(F.col("id").alias("item"), F.col("text").alias("item_text")), broadcast_rows // 10).join(flags, "item", "left")
+    rows = corpus.join(_bounded(seeds, broadcast_rows // 10), "id").join(shown, "item")
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, tokens, specific = sent.value
-        hashes, owners, places = [], [], []
-        for n, t in enumerate(tokens):
-            h, p = fingerprints(t)
-            hashes.append(h)
-            places.append(p)
-            owners.append(np.full(len(h), n))
-        hashes, owners, places = np.concatenate(hashes), np.concatenate(owners), np.concatenate(places)
-        order = np.argsort(hashes, kind="stable")
-        hashes, owners, places = hashes[order], owners[order], places[order]
-        as_lists: dict[int, list[int]] = {}
+        items: dict[int, tuple[np.ndarray, list[int], np.ndarray, np.ndarray]] = {}
+        last: tuple[int | None, list[int]] = (None, [])
         for batch in batches:
             out = []
-            for key, text in zip(batch["doc_id"], batch["text"]):
-                t = token_ids(TOKEN.findall(folded(text, table)))
-                h, p = fingerprints(t)
-                low, high = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
-                hit = np.flatnonzero(high > low)
-                if not len(hit):
-                    continue
-                seeds: dict[int, list[tuple[int, int]]] = {}
-                for x in hit:
-                    for y in range(low[x], high[x]):
-                        seeds.setdefault(int(owners[y]), []).append((int(p[x]), int(places[y])))
-                doc = t.tolist()
-                for n, pairs in seeds.items():
-                    if n not in as_lists:
-                        as_lists[n] = tokens[n].tolist()
-                    cjk = _mostly_han(tokens[n])
-                    k, _, anchor, most = CJK if cjk else WORDS
-                    least = least_han if cjk else least_words
-                    best = best_two(stretches(doc, as_lists[n], pairs, anchor, most), specific[n], k, least_specific, least)
-                    if not best:
-                        continue
-                    total = sum(s[0] for s in best)
-                    if total >= least:
-                        out.append((key, ids[n], total, len(best), min(s[1] for s in best)))
+            for key, text, item, seeds, item_text, prints in zip(batch["id"], batch["text"], batch["item"], batch["seeds"], batch["item_text"], batch["prints"]):
+                if item not in items:
+                    if len(items) > 10_000:
+                        items.clear()
+                    t = token_ids(TOKEN.findall(folded(item_text, table)))
+                    prints = [] if prints is None else prints
+                    items[item] = (t, t.tolist(), np.array([p["place"] for p in prints], dtype=np.int64), np.array([p["specific"] for p in prints], dtype=bool))
+                ids, tokens, places, specific = items[item]
+                if last[0] != key:
+                    last = (key, token_ids(TOKEN.findall(folded(text, table))).tolist())
+                cjk = _mostly_han(ids)
+                _, _, anchor, most = CJK if cjk else WORDS
+                least = least_han if cjk else least_words
+                best = best_two(stretches(last[1], tokens, [(x["place"], x["there"]) for x in seeds], anchor, most), places, specific, least_specific, least)
+                total = sum(s[0] for s in best)
+                if best and total >= least:
+                    out.append((key, item, total, len(best), min(s[1] for s in best)))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "matched", "stretches", "first_token"])
 
-    return match
+    return rows.select("id", "text", "item", "seeds", "item_text", "prints").mapInPandas(match, SCHEMA)
+
+
+def _mostly_han(ids: np.ndarray) -> bool:
+    return len(ids) > 0 and bool(_is_han(ids).mean() > 0.5)

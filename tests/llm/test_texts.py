@@ -46,7 +46,7 @@ def test_leaks_whole_partial_and_changed(spark):
     got = sorted((r["doc_id"], r["item_id"]) for r in leakage.find_leaks(d, e).collect())
     assert got == [(0, 0), (1, 1), (2, 2), (4, 6), (9, 0)]
     assert leakage.find_leaks(d.limit(0), e).count() == 0 and leakage.find_leaks(d, e.limit(0)).count() == 0
-    assert sorted((r["doc_id"], r["item_id"]) for r in leakage.find_leaks(d, e, block_items=2).collect()) == got
+    assert sorted((r["doc_id"], r["item_id"]) for r in leakage.find_leaks(d, e, broadcast_rows=1).collect()) == got
 
 
 def test_leaks_in_many_documents_and_of_repeated_items(spark):
