@@ -41,9 +41,18 @@ def main_containers(segments: DataFrame) -> DataFrame:
     return total.groupBy("host").agg(F.max_by("sig", F.struct("x", "sig")).alias("main"))
 
 
-def with_place(segments: DataFrame) -> DataFrame:
-    """Adds `inside`: true in the main body, false outside, null where there is no tree."""
-    placed = segments.join(main_containers(segments), "host", "left")
+def with_place(segments: DataFrame, broadcast_hosts: int = 200_000, salts: int = 64) -> DataFrame:
+    """Adds `inside`: true in the main body, false outside, null where there is no tree.
+
+    Hosts have one row each: up to broadcast_hosts of them, counted, they are broadcast;
+    beyond, they are repeated under `salts` numbers, over which the rows of a hot host spread.
+    """
+    hosts = written(main_containers(segments), "containers")
+    if hosts.count() <= broadcast_hosts:
+        placed = segments.join(F.broadcast(hosts), "host", "left")
+    else:
+        salted = hosts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        placed = segments.withColumn("salt", F.pmod(F.xxhash64("table_name", "row_id"), F.lit(salts)).cast("int")).join(salted, ["host", "salt"], "left").drop("salt")
     inside = F.array_contains(F.split("path", ">"), F.col("main"))
     return placed.withColumn("inside", F.when(F.col("form") == "html", F.coalesce(inside, F.lit(False)) & (F.col("kind") != "n")))
 

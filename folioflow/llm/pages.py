@@ -39,7 +39,9 @@ _HEAD = re.compile(r"^\s*([^:：。！？.!?“”\"]{2,24}?)\s*[:：]")
 
 # The ways templates mark a slot, opening and closing.
 SLOT_MARKS = ["{{", "}}"], ["${", "}"], ["#{", "}"], ["{$", "}"], ["{%", "%}"], ["<%=", "%>"], ["<%", "%>"], ["[[", "]]"], ["@", "@"], ["$", "$"], ["%", "%"], ["__", "__"], ["【", "】"], ["&lt;", "&gt;"], ["<", ">"], ["{", "}"], ["[", "]"]
-_SLOT = re.compile("|".join(f"{re.escape(a)}[ \\t]*([\\w.\u4e00-\u9fff]{{2,24}})[ \\t]*{re.escape(b)}" for a, b in SLOT_MARKS))
+#: openings of marks that prose doesn't use: a name between them is a slot whatever else the table holds
+SURE_MARKS = ("{{", "${", "#{", "{$", "{%", "<%=", "<%")
+_SLOT = re.compile("|".join(f"{re.escape(a)}[ \\t]*([\\w\u4e00-\u9fff][\\w.\u4e00-\u9fff-]{{1,39}})[ \\t]*{re.escape(b)}" for a, b in SLOT_MARKS))
 _LATIN = re.compile(r"[^\W\d_]+")
 _HAN = re.compile("[㐀-鿿]")
 _BEYOND = re.compile(r"[^\W\d_a-zA-Z]|\ufffd")
@@ -135,7 +137,7 @@ def _html_segments(body: str) -> Iterator[tuple[int, str, str, str, float, list[
         blocks = [s[1] for s in stack if s[2] and s[0] not in ("html", "body")]
         tags = {s[0] for s in stack}
         kind = "n" if "noscript" in tags else "h" if "h1" in tags else "s" if tags & {"h2", "h3", "h4"} else "t"
-        path, linked = ">".join(blocks[-5:]), "a" in tags
+        path, linked = ">".join(blocks), "a" in tags
         for k, part in enumerate(piece.split("\n")):
             if k:
                 yield from flush()

@@ -2,8 +2,9 @@
 
 Method: records made from one template align on their text with numbers and host
 masked. Three kinds of residue show in the alignment:
-- unfilled slots: a name in template marks is a variable's name if it stands in
-  several kinds of marks (template systems differ, their variables agree);
+- unfilled slots: a name in template marks is a variable's name if the marks are ones
+  that prose doesn't use, or if it stands in several kinds of marks or in such ones
+  (template systems differ, their variables agree);
 - repeated error templates and default fillers: main lines that recur in several
   books, mostly as the end of a record, and often in records that consist of
   recurring lines only. Lines of stories recur too, but not in these places;
@@ -20,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.llm.pages import SLOT_MARKS, SURE_MARKS
 from folioflow.session import written
 
 ROW = ["table_name", "row_id"]
@@ -35,9 +37,10 @@ def main_lines(roles: DataFrame) -> DataFrame:
 
 
 def slot_rows(roles: DataFrame, least_marks: int = 2) -> DataFrame:
-    """Rows with a slot named by a variable."""
-    slots = roles.filter("slots is not null").select(*ROW, F.explode("slots").alias("slot")).withColumn("mark", F.substring_index("slot", " ", 1)).withColumn("name", F.lower(F.substring_index("slot", " ", -1)))
-    names = slots.groupBy("name").agg(F.count_distinct("mark").alias("marks")).filter(F.col("marks") >= least_marks).select("name")
+    """Rows with a slot named by a variable: a name in marks that prose doesn't use, or one in other marks that also stands in several kinds of marks or in such ones."""
+    slots = roles.filter("slots is not null").select(*ROW, F.explode("slots").alias("slot")).withColumn("mark", F.substring_index("slot", " ", 1).cast("int")).withColumn("name", F.lower(F.substring_index("slot", " ", -1)))
+    sure = F.col("mark").isin([k + 1 for k, (a, _) in enumerate(SLOT_MARKS) if a in SURE_MARKS])
+    names = slots.groupBy("name").agg(F.count_distinct("mark").alias("marks"), F.bool_or(sure).alias("sure")).filter((F.col("marks") >= least_marks) | F.col("sure")).select("name")
     return slots.join(names, "name", "left_semi").select(*ROW).distinct()
 
 

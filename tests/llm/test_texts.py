@@ -175,3 +175,20 @@ def test_marks_behind_long_runs_and_words_like_marks(spark):
     rows = [(k, body * 3, "s") for k in range(30)] + [(100, body + "The pilot of the val" + "." * 700, "s"), (101, body + "The pilot of" + " " * 900 + "(read more)", "s"), (102, body + "He said nothing more.", "s"), (103, body + "x" * 900 + " of", "s")]
     d = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
     assert {r["doc_id"] for r in truncation.cut_documents(d).collect() if r["cut"]} == {100, 101, 103}
+
+
+def test_splitting_hot_keys_loses_hardly_a_pair(spark, sf_dir):
+    from folioflow.sources.tables import table
+
+    hits = table(spark, sf_dir, "search_hits")
+    pairs = lambda limit: {(r["hit_id_a"], r["hit_id_b"]) for r in matching.match_hits(hits, block_limit=limit).collect()}
+    whole = pairs(10**9)
+    assert len(whole) > 100 and len(pairs(3) & whole) >= 0.98 * len(whole)
+
+
+def test_messages_that_cannot_settle_are_an_error(spark):
+    import pytest
+
+    d = spark.createDataFrame([(1, 2, 10, 20, 3.0), (1, 3, 10, 20, 2.0)], "a bigint, b bigint, oa bigint, ob bigint, prior double")
+    with pytest.raises(RuntimeError):
+        matching.propagate(d, iterations=1, tolerance=0.0)
