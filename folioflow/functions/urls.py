@@ -181,3 +181,19 @@ def _decode_all(data: pd.Series, charset: pd.Series, content_type: pd.Series) ->
     return pd.Series([decode_body(*x) for x in zip(data, charset, content_type)])
 
 
+
+
+# Types of content by the ending of an address.
+CONTENT_TYPES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "webp": "image/webp", "gif": "image/gif", "bmp": "image/bmp", "svg": "image/svg+xml"}
+
+
+def ending(url: Column) -> Column:
+    """What stands behind the last point of an address without query and fragment: one to eight characters, else null."""
+    found = F.regexp_extract(url, r"^[^?#]*\.([^?#.]{1,8})(?:[?#].*)?$", 1)
+    return F.when(found != "", F.lower(found))
+
+
+def content_type(url: Column) -> Column:
+    """The type of content an address names."""
+    kind = F.create_map(*[F.lit(x) for pair in CONTENT_TYPES.items() for x in pair])
+    return F.coalesce(F.try_element_at(kind, F.coalesce(ending(url), F.lit(""))), F.lit("application/octet-stream"))

@@ -14,12 +14,37 @@ from folioflow.functions.text import utrim
 # Rule groups of a definition with their fields; a flat definition names them with the group's prefix.
 RULE_FIELDS = {
     "ruleSearch": ("bookList", "name", "author", "intro", "kind", "lastChapter", "updateTime", "bookUrl", "coverUrl", "wordCount"),
+    "ruleExplore": ("bookList", "name", "author", "intro", "kind", "lastChapter", "updateTime", "bookUrl", "coverUrl", "wordCount"),
     "ruleBookInfo": ("init", "name", "author", "intro", "kind", "lastChapter", "updateTime", "coverUrl", "wordCount", "tocUrl"),
     "ruleToc": ("chapterList", "chapterName", "chapterUrl", "nextTocUrl"),
     "ruleContent": ("content", "nextContentUrl", "replaceRegex"),
 }
 
 
+# Names of older definitions, each with the field that has its value now.
+OLDER_FIELDS = {"ruleBookUrlPattern": "bookUrlPattern", "serialNumber": "customOrder", "ruleFindUrl": "exploreUrl", "ruleSearchUrl": "searchUrl", "enable": "enabled"}
+# Names of older rules by the group they belong to now; the first of two names for a field wins.
+OLDER_RULES = {
+    "ruleSearch": {
+        "ruleSearchList": "bookList", "ruleSearchName": "name", "ruleSearchAuthor": "author", "ruleSearchIntro": "intro", "ruleSearchKind": "kind", "ruleSearchLastChapter": "lastChapter",
+        "ruleSearchUpdateTime": "updateTime", "ruleSearchNoteUrl": "bookUrl", "ruleSearchBookUrl": "bookUrl", "ruleSearchCoverUrl": "coverUrl", "ruleSearchWordCount": "wordCount",
+    },
+    "ruleExplore": {
+        "ruleFindList": "bookList", "ruleFindName": "name", "ruleFindAuthor": "author", "ruleFindIntro": "intro", "ruleFindKind": "kind", "ruleFindLastChapter": "lastChapter",
+        "ruleFindUpdateTime": "updateTime", "ruleFindNoteUrl": "bookUrl", "ruleFindBookUrl": "bookUrl", "ruleFindCoverUrl": "coverUrl", "ruleFindWordCount": "wordCount",
+    },
+    "ruleBookInfo": {
+        "ruleBookInfoInit": "init", "ruleBookName": "name", "ruleBookAuthor": "author", "ruleIntroduce": "intro", "ruleBookIntro": "intro", "ruleBookKind": "kind", "ruleBookLastChapter": "lastChapter",
+        "ruleBookUpdateTime": "updateTime", "ruleCoverUrl": "coverUrl", "ruleBookCoverUrl": "coverUrl", "ruleBookWordCount": "wordCount", "ruleChapterUrl": "tocUrl", "ruleBookTocUrl": "tocUrl",
+    },
+    "ruleToc": {
+        "ruleChapterList": "chapterList", "ruleChapterName": "chapterName", "ruleContentUrl": "chapterUrl", "ruleChapterUrl": "chapterUrl", "ruleChapterUpdateTime": "updateTime",
+        "ruleChapterUrlNext": "nextTocUrl", "ruleTocUrlNext": "nextTocUrl",
+    },
+    "ruleContent": {"ruleBookContent": "content", "ruleBookContentReplace": "replaceRegex", "ruleContentUrlNext": "nextContentUrl", "ruleContentTitle": "title"},
+}
+
+
 def capable(explore_url: Column, enabled: Column, enabled_explore: Column) -> Column:
     """Whether a source can be explored."""
     return F.coalesce(enabled, F.lit(True)) & F.coalesce(enabled_explore, F.lit(False)) & (utrim(F.coalesce(explore_url, F.lit(""))) != "")
@@ -35,6 +60,14 @@ def matching(name: Column, url: Column, groups: Column, words: str, group: str =
 def migrated(item: dict) -> dict:
     """A definition with nested rule objects, whatever form it came in: nested, nested as JSON text, or flat."""
     out = dict(item)
+    for old, new in OLDER_FIELDS.items():
+        if old in out and new not in out:
+            out[new] = out.pop(old)
+    if isinstance(out.get("bookSourceType"), str):
+        out["bookSourceType"] = int(out["bookSourceType"].upper() == "AUDIO")
+    agent = out.get("httpUserAgent")
+    if "header" not in out and isinstance(agent, str) and agent.strip():
+        out["header"] = json.dumps({"User-Agent": agent}, ensure_ascii=False)
     for group, fields in RULE_FIELDS.items():
         value = out.get(group)
         if isinstance(value, str):
@@ -43,10 +76,12 @@ def migrated(item: dict) -> dict:
             except ValueError:
                 value = None
         rules = dict(value) if isinstance(value, dict) else {}
-        for f in fields:
-            flat = out.pop(f"{group}{f[0].upper()}{f[1:]}", None)
-            if f not in rules and flat:
-                rules[f] = flat
+        # a blank older value is taken off without taking the field's place
+        for name, f in [*OLDER_RULES[group].items(), *((f"{group}{f[0].upper()}{f[1:]}", f) for f in fields)]:
+            if f not in rules and name in out:
+                old = out.pop(name)
+                if old is not None and (not isinstance(old, str) or old.strip()):
+                    rules[f] = old
         if rules:
             out[group] = rules
         else:

@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.plans import documents, knowledge, search, shelf, sequences
+from folioflow.plans import display, documents, knowledge, search, shelf, sequences
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-for _module in (search, shelf, sequences, documents, knowledge):
+for _module in (search, shelf, sequences, documents, knowledge, display):
     for _name, (_query, _sql) in _module.ALL.items():
         QUERIES[_name] = _query
         if _sql:

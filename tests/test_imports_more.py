@@ -53,3 +53,10 @@ def test_closure_survives_cycles(spark):
     links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("x", None)], "page string, next string")
     starts = spark.createDataFrame([("a",), ("x",)], "root string")
     assert sorted(tuple(r) for r in graph.closure(links, starts).collect()) == [("a", "a", 0), ("a", "b", 1), ("a", "c", 2), ("a", "d", 3), ("x", "x", 0)]
+
+
+def test_older_definitions():
+    m = sources_admin.migrated({"ruleSearchList": "l", "ruleSearchNoteUrl": "n", "ruleSearchBookUrl": "b", "ruleFindName": "f", "ruleBookName": " ", "ruleIntroduce": "i", "ruleBookIntro": "j", "ruleChapterUrl": "u", "ruleContentUrl": "c", "ruleBookContent": "t", "serialNumber": "3", "enable": True, "bookSourceType": "audio", "httpUserAgent": "x"})
+    assert m["ruleSearch"] == {"bookList": "l", "bookUrl": "n"} and m["ruleExplore"] == {"name": "f"} and m["ruleBookInfo"] == {"intro": "i", "tocUrl": "u"}
+    assert m["ruleToc"] == {"chapterUrl": "c"} and m["ruleContent"] == {"content": "t"} and m["customOrder"] == 3 and m["enabled"] is True and m["bookSourceType"] == 1 and m["header"] == '{"User-Agent": "x"}'
+    assert sources_admin.migrated({"ruleSearch": {"name": "new"}, "ruleSearchName": "old"})["ruleSearch"] == {"name": "new"}
