@@ -87,8 +87,10 @@ def classified(relations: DataFrame, people: DataFrame, places: DataFrame) -> Da
 def grouped_pairs(relations: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Relations of an unordered pair as one: the first one's fields, all facets in order (A3)."""
     p = relations.withColumn("pair", pair_key(F.col("source_name"), F.col("target_name")))
-    g = p.groupBy(*keys, "pair").agg(F.min_by(F.struct("source_name", "target_name", "kind"), order).alias("f"), F.array_sort(F.collect_set(F.struct(order, "kind"))).alias("k"), F.count("*").alias("n"))
-    return g.select(*keys, "pair", "f.*", F.when(F.col("n") > 1, "grouped").otherwise("single").alias("direction"), F.array_distinct(F.transform("k", lambda x: x["kind"])).alias("kinds"), F.col("n").alias("relations"))
+    # kinds once a pair before the pair is gathered: they are few, its relations may be many
+    once = p.groupBy(*keys, "pair", "kind").agg(F.min_by(F.struct("source_name", "target_name", "kind"), order).alias("f"), F.min(order).alias("o"), F.count("*").alias("n"))
+    g = once.groupBy(*keys, "pair").agg(F.min_by("f", "o").alias("f"), F.array_sort(F.collect_list(F.struct("o", "kind"))).alias("k"), F.sum("n").alias("n"))
+    return g.select(*keys, "pair", "f.*", F.when(F.col("n") > 1, "grouped").otherwise("single").alias("direction"), F.transform("k", lambda x: x["kind"]).alias("kinds"), F.col("n").alias("relations"))
 
 
 def last_known(patches: DataFrame, keys: list[str], order: str, fields: list[str]) -> DataFrame:

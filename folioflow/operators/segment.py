@@ -32,17 +32,16 @@ def chapters(texts: DataFrame, key: str = "book_url", body: str = "text") -> Dat
         return F.struct((acc["at"] + F.octet_length(line) + 1).cast("bigint").alias("at"), heads.alias("heads"))
 
     found = spread(texts).select(F.col(key).alias("book_url"), F.col(body).alias("t"), F.aggregate(lines, start, step)["heads"].alias("heads")).filter("t is not null")
-    raw = F.encode("t", "UTF-8")
     size = F.octet_length("t").cast("bigint")
-    cut = lambda a, b: F.decode(F.substring(raw, (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int")), "UTF-8")
+    cut = lambda raw, a, b: F.decode(F.substring(raw, (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int")), "UTF-8")
     whole = F.struct(F.lit("正文").alias("title"), F.lit(0).cast("bigint").alias("a"), size.alias("b"))
     front = F.struct(F.lit("序章").alias("title"), F.lit(0).cast("bigint").alias("a"), F.get("heads", F.lit(0))["head"].alias("b"))
     each = F.transform("heads", lambda h, i: F.struct(h["title"].alias("title"), F.least(h["begin"], size).alias("a"), F.coalesce(F.get("heads", i + 1)["head"], size).alias("b")))
-    has_front = text.utrim(cut(F.lit(0), F.get("heads", F.lit(0))["head"])) != ""
+    has_front = text.utrim(cut(F.encode("t", "UTF-8"), F.lit(0), F.get("heads", F.lit(0))["head"])) != ""
     parts = F.when(F.size("heads") == 0, F.array(whole)).when(has_front, F.concat(F.array(front), each)).otherwise(each)
-    rows = found.select("book_url", "t", "heads", F.posexplode(parts).alias("index", "p"))
-    content = F.when(F.size("heads") == 0, F.col("t")).otherwise(F.regexp_replace(cut(F.col("p.a"), F.col("p.b")), r"[\r\n]+$", ""))
-    rows = rows.select("book_url", "index", F.col("p.title").alias("title"), F.col("p.a").alias("start_pos"), content.alias("content"))
+    # the slices are cut from one array of bytes before the rows are made, so no chapter carries the whole text
+    slices = lambda raw: F.transform(parts, lambda p, i: F.struct(i.alias("index"), p["title"].alias("title"), p["a"].alias("start_pos"), F.when(F.size("heads") == 0, F.col("t")).otherwise(F.regexp_replace(cut(raw, p["a"], p["b"]), r"[\r\n]+$", "")).alias("content")))
+    rows = found.select("book_url", F.inline(F.element_at(F.transform(F.array(F.encode("t", "UTF-8")), slices), 1)))
     return rows.select("book_url", "index", "title", F.concat(F.regexp_replace("book_url", "#+$", ""), F.lit("#"), F.col("index").cast("string")).alias("url"), "start_pos", (F.col("start_pos") + F.octet_length("content")).alias("end_pos"), "content")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +43,33 @@ def running_mean(values: Column) -> Column:
     return F.aggregate(values, start, step)["mean"]
 
 
+def running_mean_of(rows: DataFrame, key: str, order: list[str], value: Column) -> DataFrame:
+    """(key, mean): the integer running mean of every key's values in order.
+
+    The truncation at each step binds the result to the order, so a key's values pass one
+    task; they pass it as a sorted stream of which only the running state is kept.
+    """
+    kind = dict(rows.dtypes)[key]
+    s = rows.select(key, *order, value.cast("bigint").alias("_v")).repartition(key).sortWithinPartitions(key, *order).select(key, "_v")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, n, mean, begun = None, 0, 0, False
+        for batch in batches:
+            out = []
+            for k, v in zip(batch[key], batch["_v"]):
+                if not begun or k != last:
+                    if begun:
+                        out.append((last, mean))
+                    last, n, mean, begun = k, 0, 0, True
+                total, n = mean * n + int(v), n + 1
+                mean = total // n if total >= 0 else -(-total // n)
+            yield pd.DataFrame(out, columns=[key, "mean"])
+        if begun:
+            yield pd.DataFrame([(last, mean)], columns=[key, "mean"])
+
+    return s.filter("_v is not null").mapInPandas(fold, f"`{key}` {kind}, mean bigint")
+
+
 def distinct_spellings(values: Column) -> Column:
     """Values of an array kept once by canonical key, the first spelling wins."""
     keep = lambda acc, x: F.when(F.exists(acc, lambda y: text.canonical_key(y) == text.canonical_key(x)) | (text.canonical_key(x) == ""), acc).otherwise(F.array_append(acc, x))

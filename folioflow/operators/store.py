@@ -117,12 +117,15 @@ def with_progress(shelf: DataFrame, moves: DataFrame, chapters: DataFrame, keys:
     return j.select(*[F.when(moved, new[c]).otherwise(F.col(c)).cast(dict(shelf.dtypes)[c]).alias(c) if c in new else F.col(c) for c in shelf.columns])
 
 
-def allocated(groups: DataFrame, new: DataFrame, key: str = "group_id", place: str = "pos") -> DataFrame:
-    """New groups of id 0 get the ids behind the greatest; others replace theirs."""
-    top = groups.agg(F.coalesce(F.max(key), F.lit(0)).alias("_m"))
-    rank = F.sum((F.col(key) == 0).cast("bigint")).over(Window.partitionBy(F.lit(0)).orderBy(place))  # a user's few new groups
-    given = new.join(F.broadcast(top)).withColumn(key, F.when(F.col(key) == 0, F.col("_m") + rank).otherwise(F.col(key))).drop("_m")
-    return upsert(groups, given, [key])
+def allocated(groups: DataFrame, new: DataFrame, key: str = "group_id", place: str = "pos", owner: str = "user_ns") -> DataFrame:
+    """New groups of id 0 get the ids behind the greatest of their owner; others replace theirs.
+
+    Each owner's few new groups are numbered by themselves.
+    """
+    top = groups.groupBy(owner).agg(F.max(key).alias("_m"))
+    rank = F.sum((F.col(key) == 0).cast("bigint")).over(Window.partitionBy(owner).orderBy(place))
+    given = new.withColumn("_r", rank).join(top, owner, "left").withColumn(key, F.when(F.col(key) == 0, F.coalesce("_m", F.lit(0)) + F.col("_r")).otherwise(F.col(key)))
+    return upsert(groups, given.select(*new.columns), [owner, key])
 
 
 def switched(shelf: DataFrame, moves: DataFrame, fields: list[str], keys: tuple[str, ...] = ("user_ns", "book_url")) -> DataFrame:

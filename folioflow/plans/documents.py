@@ -124,13 +124,13 @@ def text_without_tags(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""
-    WITH u AS (SELECT response_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '\.[A-Za-z0-9]{1,5}$', '') AS base FROM fetch_responses)
-    SELECT response_id, regexp_replace(base, '[-_]([2-9]|[1-9][0-9]+)$', '') AS stem, true AS follows FROM u
+    WITH u AS (SELECT response_id, coalesce(is_successful, false) AS ok, regexp_replace(regexp_replace(url, '[?#].*$', ''), '\.[A-Za-z0-9]{1,5}$', '') AS base FROM fetch_responses)
+    SELECT response_id, regexp_replace(base, '[-_]([2-9]|[1-9][0-9]+)$', '') AS stem, ok AS follows FROM u
 """)
 def url_follow_page(spark: SparkSession, d: str) -> DataFrame:
     u = F.col("url")
     base = F.regexp_replace(F.regexp_replace(u, r"[?#].*$", ""), r"\.[A-Za-z0-9]{1,5}$", "")
-    return table(spark, d, "fetch_responses").select("response_id", urls.page_stem(u).alias("stem"), urls.follows(u, F.concat(base, F.lit("_2.html"))).alias("follows"))
+    return table(spark, d, "fetch_responses").select("response_id", urls.page_stem(u).alias("stem"), urls.follows(u, F.when(F.col("is_successful"), F.concat(base, F.lit("_2.html"))).otherwise("https://elsewhere.example/a/b_2.html")).alias("follows"))
 
 
 @query("SELECT spec_id, CASE WHEN spec_id % 3 = 0 THEN url || '/list.html' WHEN spec_id % 3 = 1 THEN url || '/list_2.html' ELSE url || '/list_2.html' END AS address FROM request_specs")
@@ -149,9 +149,12 @@ def url_analyze(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT response_id, md5(body) AS digest FROM fetch_responses WHERE body IS NOT NULL")
 def charset_decode(spark: SparkSession, d: str) -> DataFrame:
-    """Bodies put into bytes and read again under their true charset."""
+    """Bodies put into bytes of a charset told by the request, by the header or by nothing, and read again."""
     docs = table(spark, d, "fetch_responses").filter(F.col("body").isNotNull())
-    return docs.select("response_id", F.md5(urls.decode_bytes(F.encode("body", "UTF-8"), F.lit("utf-8"), F.col("content_type"))).alias("digest"))
+    told, header = F.col("is_successful"), F.col("is_successful").isNull()
+    data = F.when(told, F.encode("body", "UTF-16BE")).when(header, F.encode("body", "UTF-16LE")).otherwise(F.encode("body", "UTF-8"))
+    charset, kind = F.when(told, "utf-16be"), F.when(header, "text/html; charset=utf-16le").when(told, F.col("content_type")).otherwise("text/html; charset=utf-8")
+    return docs.select("response_id", F.md5(urls.decode_bytes(data, charset, kind)).alias("digest"))
 
 
 @query("SELECT hit_id, 0 AS ord, trim(name, ' ') AS title, book_url AS link FROM search_hits")
@@ -227,3 +230,18 @@ def keyed_names(spark: SparkSession, d: str) -> DataFrame:
 
     specs = table(spark, d, "request_specs")
     return specs.select("spec_id", codec.keyed_md5(F.col("url"), F.coalesce("http_method", F.lit(""))).alias("name"), codec.minutes(F.unix_timestamp("created_at")).alias("at"))
+
+
+@query(r"""
+    WITH p AS (SELECT hit_id, coalesce(name, '') AS name, book_url, kind IS NULL AS listed FROM search_hits WHERE name IS NULL OR NOT regexp_matches(name, '[<>&]')),
+         t AS (SELECT *, regexp_replace(name, '^[\t-\r\x{85}\p{Z}]+|[\t-\r\x{85}\p{Z}]+$', '', 'g') AS t FROM p)
+    SELECT hit_id, nullif(t, '') AS name, CASE WHEN listed THEN 'http://h/' || hit_id ELSE book_url END AS book_url FROM t WHERE listed OR t != ''
+""")
+def rule_search_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """Search pages with a list, and detail pages in the place of one: names without markup."""
+    hits = table(spark, d, "search_hits").filter("name is null or not name rlike '[<>&]'")
+    name = F.coalesce("name", F.lit(""))
+    body = F.when(F.col("kind").isNull(), F.concat(F.lit("<ul><li><a href='/"), F.col("hit_id").cast("string"), F.lit("'>"), name, F.lit("</a></li></ul>"))).otherwise(F.concat(F.lit("<h1>"), name, F.lit("</h1>")))
+    docs = hits.select("hit_id", body.alias("body"), F.when(F.col("kind").isNull(), "http://h/").otherwise(F.col("book_url")).alias("base"))
+    found = engine.extract_rows(docs, {"list": "ul@li", "name": "a@text", "book_url": "a@href"}, "hit_id", "body", F.col("base"), detail={"name": "h1@text"})
+    return found.select("hit_id", F.when(F.col("name") != "", F.col("name")).alias("name"), "book_url")

@@ -53,8 +53,7 @@ def running_budget(spark: SparkSession, d: str) -> DataFrame:
     FROM (SELECT user_id, list({'n': CAST(0 AS BIGINT), 'm': CAST(0 AS BIGINT), 'x': CAST(event_id % 1000 AS BIGINT)} ORDER BY ts, event_id) AS v FROM events GROUP BY 1)
 """)
 def running_avg_int(spark: SparkSession, d: str) -> DataFrame:
-    g = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id"))).alias("e"))
-    return g.select("user_id", sequence.running_mean(F.transform("e", lambda x: x["event_id"] % 1000)).alias("mean"))
+    return sequence.running_mean_of(table(spark, d, "events"), "user_id", ["ts", "event_id"], F.col("event_id") % 1000)
 
 
 @query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(date_trunc('second', ts)) RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW) AS in_hour FROM events")
@@ -89,11 +88,11 @@ def story_chapters(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(rf"""
-    WITH l AS (SELECT chapter_id, unnest(string_split(content, chr(10))) AS line FROM txt_chapters), t AS (SELECT chapter_id, regexp_replace(line, '^{SPACE}+|{SPACE}+$', '', 'g') AS t FROM l)
+    WITH l AS (SELECT chapter_id, unnest(string_split(concat_ws(chr(10), title, content), chr(10))) AS line FROM txt_chapters), t AS (SELECT chapter_id, regexp_replace(line, '^{SPACE}+|{SPACE}+$', '', 'g') AS t FROM l)
     SELECT chapter_id, count(*) AS headings FROM t WHERE t != '' AND length(t) <= 80 AND regexp_matches(t, '{text.HEADING}') GROUP BY 1
 """)
 def segment_heading_lines(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "txt_chapters").select("chapter_id", F.explode(F.split("content", "\n")).alias("line")).withColumn("t", text.utrim(F.col("line")))
+    lines = table(spark, d, "txt_chapters").select("chapter_id", F.explode(F.split(F.concat_ws("\n", "title", "content"), "\n")).alias("line")).withColumn("t", text.utrim(F.col("line")))
     return lines.filter((F.col("t") != "") & text.is_heading(F.col("t"))).groupBy("chapter_id").agg(F.count("*").alias("headings"))
 
 

@@ -55,9 +55,9 @@ def list_upsert_keep_place(spark: SparkSession, d: str) -> DataFrame:
     return store.upsert_keeping_place(old, new, keys)
 
 
-@query("SELECT shelf_id FROM shelf_books s WHERE NOT EXISTS (SELECT 1 FROM search_hits h WHERE h.book_url = s.book_url)")
+@query("SELECT shelf_id FROM shelf_books s WHERE NOT EXISTS (SELECT 1 FROM search_hits h WHERE h.book_url = s.book_url AND h.kind IS NULL)")
 def delete_anti(spark: SparkSession, d: str) -> DataFrame:
-    return store.delete(table(spark, d, "shelf_books"), table(spark, d, "search_hits"), ["book_url"]).select("shelf_id")
+    return store.delete(table(spark, d, "shelf_books"), table(spark, d, "search_hits").filter("kind is null"), ["book_url"]).select("shelf_id")
 
 
 @query(f"""

@@ -360,6 +360,26 @@ def rows(body: str, rules: dict[str, str], base: str = "", scripts: dict[str, Sc
     return out[::-1] if back else out
 
 
+def search_rows(body: str, rules: dict[str, str], detail: dict[str, str] | None = None, base: str = "", pattern: str | None = None, scripts: dict[str, Script] | None = None) -> list[dict[str, str | None]]:
+    """Rows of a search page; the page itself as a detail page where the list has none and no pattern of addresses speaks against it.
+
+    The fallback needs a name; its address is the page's own.
+    """
+    found = rows(body, rules, base, scripts)
+    if found or not detail or (pattern or "").strip():
+        return found
+    one = info(body, detail, base, scripts)
+    if not (one.get("name") or "").strip():
+        return []
+    return [{**{n: None for n in rules if n != "list"}, **{n: v for n, v in one.items() if n in rules}, **({"book_url": base} if "book_url" in rules else {})}]
+
+
+def explore_rows(body: str, explore: dict[str, str] | None, search: dict[str, str], base: str = "", scripts: dict[str, Script] | None = None) -> list[dict[str, str | None]]:
+    """Rows of an explore page by its own rules, by those of search where its list rule is blank; never a detail page."""
+    own = explore if explore and (explore.get("list") or "").strip() else search
+    return rows(body, own, base, scripts)
+
+
 def _finished(name: str, value: str | None, base: str) -> str | None:
     return resolve(base, value) if value is not None and name.endswith("url") else value
 
@@ -459,15 +479,15 @@ def content(body: str, rules: dict[str, str], base: str = "", scripts: dict[str,
 # ---- DataFrame forms ----------------------------------------------------------------------
 
 
-def extract_rows(docs: DataFrame, rules: dict[str, str], key: str, body: str, base: Column | None = None, scripts: dict[str, Script] | None = None) -> DataFrame:
-    """(key, pos, field...) of every row that a rule set finds in every document."""
+def extract_rows(docs: DataFrame, rules: dict[str, str], key: str, body: str, base: Column | None = None, scripts: dict[str, Script] | None = None, detail: dict[str, str] | None = None) -> DataFrame:
+    """(key, pos, field...) of every row that a rule set finds in every document; detail: rules of the page itself where it has no rows."""
     names = [n for n in rules if n != "list"]
     kind = dict(docs.dtypes)[key]
     d = docs.select(F.col(key), F.col(body).cast("string").alias("body"), (base if base is not None else F.lit("")).cast("string").alias("base")).filter("body is not null")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(k, n, *(r[c] for c in names)) for k, text, at in zip(b[key], b["body"], b["base"]) for n, r in enumerate(rows(text, rules, at or "", scripts))]
+            out = [(k, n, *(r[c] for c in names)) for k, text, at in zip(b[key], b["body"], b["base"]) for n, r in enumerate(search_rows(text, rules, detail, at or "", None, scripts))]
             yield pd.DataFrame(out, columns=[key, "pos", *names])
 
     return d.mapInPandas(run, ", ".join([f"`{key}` {kind}", "pos int", *(f"`{n}` string" for n in names)]))

@@ -76,14 +76,17 @@ def text_files(spark: SparkSession, path: str, most_bytes: int = 50 * 1024 * 102
     return files.select("path", decode("content").alias("text"))
 
 
-def recovered(df: DataFrame, column: str, key_fields: tuple[str, ...] = ("bookUrl", "origin")) -> DataFrame:
-    """Objects of concatenated or damaged JSON texts up to the first error, repeats of a key dropped."""
+def recovered(df: DataFrame, column: str, key_fields: tuple[str, ...] = ("bookUrl", "origin"), row_key: str | None = None) -> DataFrame:
+    """Objects of concatenated or damaged JSON texts up to the first error, repeats of a key dropped.
+
+    row_key: a column, such as the owner of a shelf, that every object keeps.
+    """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         decoder = json.JSONDecoder()
         for batch in batches:
             out = []
-            for row, text in enumerate(batch[column]):
+            for owner, text in zip(batch[row_key] if row_key else batch[column], batch[column]):
                 at, seen, n, text = 0, set(), 0, text or ""
                 while True:
                     while at < len(text) and text[at] in " \t\r\n,":
@@ -98,8 +101,9 @@ def recovered(df: DataFrame, column: str, key_fields: tuple[str, ...] = ("bookUr
                         key = "::".join(str(item.get(k, "")) for k in key_fields)
                         if key not in seen:
                             seen.add(key)
-                            out.append((n, json.dumps(item, ensure_ascii=False, sort_keys=True)))
+                            out.append(((owner,) if row_key else ()) + (n, json.dumps(item, ensure_ascii=False, sort_keys=True)))
                             n += 1
-            yield pd.DataFrame(out, columns=["pos", "item"])
+            yield pd.DataFrame(out, columns=[*([row_key] if row_key else []), "pos", "item"])
 
-    return df.select(column).mapInPandas(read, "pos int, item string")
+    own = f"`{row_key}` {dict(df.dtypes)[row_key]}, " if row_key else ""
+    return df.select(*([row_key] if row_key else []), column).mapInPandas(read, f"{own}pos int, item string")

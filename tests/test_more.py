@@ -40,9 +40,9 @@ def test_codecs(spark):
 
 
 def test_storage(spark):
-    groups = spark.createDataFrame([(1, "a", 0), (3, "b", 1)], "group_id bigint, name string, pos int")
-    new = spark.createDataFrame([(0, "c", 0), (3, "B", 1), (0, "d", 2)], "group_id bigint, name string, pos int")
-    assert rows(store.allocated(groups, new), "group_id", "name") == [(1, "a"), (3, "B"), (4, "c"), (5, "d")]
+    groups = spark.createDataFrame([("u", 1, "a", 0), ("u", 3, "b", 1)], "user_ns string, group_id bigint, name string, pos int")
+    new = spark.createDataFrame([("u", 0, "c", 0), ("u", 3, "B", 1), ("u", 0, "d", 2), ("v", 0, "e", 0)], "user_ns string, group_id bigint, name string, pos int")
+    assert rows(store.allocated(groups, new), "user_ns", "group_id", "name") == [("u", 1, "a"), ("u", 3, "B"), ("u", 4, "c"), ("u", 5, "d"), ("v", 1, "e")]
     shelf = spark.createDataFrame([("u", "x", "o", "n", None), ("u", "y", "o", "m", "k")], "user_ns string, book_url string, origin string, name string, kind string")
     moves = spark.createDataFrame([("u", "x", "z", "p", " ", "K")], "user_ns string, book_url string, new_url string, new_origin string, name string, kind string")
     assert rows(store.switched(shelf, moves, ["name", "kind"]), "book_url", "origin", "name", "kind") == [("y", "o", "m", "k"), ("z", "p", "n", "K")]

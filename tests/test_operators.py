@@ -122,6 +122,7 @@ def test_imports(spark):
     assert sorted(json.dumps(json.loads(r["item"])) for r in imports.objects(d).collect()) == ['{"a": 1}', '{"b": 2}', '{"c": 3}', '{"d": 4}']
     bad = spark.createDataFrame([('[{"bookUrl":"1","origin":"o"}]{"bookUrl":"1","origin":"o"}{"bookUrl":"2"} {oops',), (None,)], "t string")
     assert imports.recovered(bad, "t").count() == 2
+    assert imports.recovered(bad.select(F.lit("u").alias("who"), "t"), "t", row_key="who").filter("who = 'u'").count() == 2
     atom = spark.createDataFrame([("f", "<feed><entry><title>T</title><link href='u'/><updated>2024-05-01T00:00:00Z</updated></entry><entry><title><![CDATA[X]]></title></entry></feed>")], "source_url string, body string")
     got = imports.feed_items(atom).orderBy("ord").collect()
     assert [(r["title"], r["link"]) for r in got] == [("T", "u"), ("X", None)] and got[0]["published"] is not None

@@ -13,8 +13,8 @@ def test_query_equals_sql(name, spark, sf_dir, duck, same_rows):
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
-def test_query_runs(name, spark, sf_dir):
-    assert registry.QUERIES[name](spark, sf_dir).count() >= 0
+def test_query_finds_rows(name, spark, sf_dir):
+    assert registry.QUERIES[name](spark, sf_dir.replace("0.001", "0.01")).count() > 0
 
 
 def test_flagship_reads_only_the_columns_it_needs(spark, sf_dir):

@@ -77,3 +77,13 @@ def test_extract_rows_skips_null_bodies(spark):
     docs = spark.createDataFrame([(1, HTML), (2, None), (3, "")], "id bigint, body string")
     out = engine.extract_rows(docs, {"list": "a", "name": "text"}, "id", "body").collect()
     assert [(r["id"], r["pos"], r["name"]) for r in sorted(out, key=lambda r: r["pos"])] == [(1, k, n) for k, n in enumerate("ABCD")]
+
+
+def test_search_falls_back_to_the_page_and_explore_to_search():
+    rules, detail = {"list": "li", "name": "a@text", "book_url": "a@href"}, {"name": "h1@text", "author": "i@text"}
+    page = "<h1>Title</h1><i>Who</i>"
+    assert engine.search_rows(page, rules, detail, "http://h/b") == [{"name": "Title", "book_url": "http://h/b"}]
+    assert engine.search_rows(page, rules, detail, "http://h/b", "http://h/.+") == [] and engine.search_rows("<i>x</i>", rules, detail, "http://h/b") == []
+    listed = "<ul><li><a href='/1'>A</a></li></ul>"
+    assert engine.explore_rows(listed, {"list": " "}, rules, "http://h/") == [{"name": "A", "book_url": "http://h/1"}]
+    assert engine.explore_rows(page, None, rules, "http://h/") == [] and engine.explore_rows(listed, {"list": "ul", "name": "a@text"}, rules, "http://h/") == [{"name": "A"}]
