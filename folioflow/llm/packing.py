@@ -10,9 +10,10 @@ with the largest size that still fits; at last each container is downsized to
 the smallest permitted length that holds its contents. Documents then meet their
 container by their rank within their size.
 
-Ranks need no global sort: rows of a size are spread over `buckets` hash buckets,
-bucket counts are summed into offsets, and row numbers are taken inside a bucket,
-so a size that holds a third of all documents is still spread out.
+Ranks need no global sort: rows of a size are spread over hash buckets whose number
+follows the commonest size, bucket counts are summed into offsets by a join, and row
+numbers are taken inside a bucket, so a size that holds a third of all documents is
+still spread out.
 
 Defined results
 - null or blank texts, null sizes and sizes under 1 are left out.
@@ -96,29 +97,40 @@ def _intervals(plan: list[tuple[dict[int, int], int, int]], first: int) -> dict[
     return {s: dict(zip(("rank", "copies", "container", "length"), np.array(v, dtype=np.int64).T)) for s, v in out.items()}
 
 
-def pack(df: DataFrame, id_col: str, size_col: str, text_col: str | None = None, capacity: int = 2048, lengths: tuple[int, ...] = (512, 1024, 2048), buckets: int = 256) -> DataFrame:
-    """The container of every document (of every part of an oversized one)."""
+def pack(df: DataFrame, id_col: str, size_col: str, text_col: str | None = None, capacity: int = 2048, lengths: tuple[int, ...] = (512, 1024, 2048), bucket_rows: int = 200_000, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """The container of every document (of every part of an oversized one).
+
+    bucket_rows: documents of one size that are numbered in one task, about; the commonest
+    size decides the number of buckets.
+    """
     lengths = tuple(sorted({x for x in lengths if x < capacity} | {capacity}))
     rows = df.filter(F.col(size_col) >= 1)
     if text_col:
-        rows = rows.filter(F.col(text_col).rlike(r"[^\s 　﻿]"))
+        rows = rows.filter(F.col(text_col).rlike(r"[^\s \u3000\ufeff]"))
     rows = rows.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(size_col).cast("bigint").alias("n"))
-    rows = rows.withColumn("full", F.expr(f"n div {capacity}")).withColumn("size", (F.col("n") % capacity).cast("int")).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+    rows = rows.withColumn("full", F.expr(f"n div {capacity}")).withColumn("size", (F.col("n") % capacity).cast("int"))
 
-    counts = rows.groupBy("size", "bucket").agg(F.count("*").alias("items"), F.sum("full").alias("fulls"))
-    small = counts.toPandas()  # at most capacity x buckets rows of three integers
-    histogram = {int(s): int(n) for s, n in small[small["size"] > 0].groupby("size")["items"].sum().items()}
+    sizes = rows.groupBy("size").agg(F.count("*").alias("items"), F.sum("full").alias("fulls")).toPandas().sort_values("size")  # at most `capacity` rows
+    histogram = {int(s): int(n) for s, n in zip(sizes["size"], sizes["items"]) if s > 0}
     places = _intervals(plan_patterns(histogram, lengths), first=0)
     packed = sum(len(v["rank"]) for v in places.values())
-    small = small.sort_values(["size", "bucket"])
-    small["before"] = small.groupby("size")["items"].cumsum() - small["items"]
     # full containers of oversized documents are numbered downwards from -1, so that both kinds stay apart
-    small["full_before"] = small["fulls"].cumsum() - small["fulls"]
-    offsets = df.sparkSession.createDataFrame(small[["size", "bucket", "before", "full_before"]].astype("int64"), "size bigint, bucket bigint, before bigint, full_before bigint") if len(small) else df.sparkSession.createDataFrame([], "size bigint, bucket bigint, before bigint, full_before bigint")
+    first_full = dict(zip(map(int, sizes["size"]), map(int, sizes["fulls"].cumsum() - sizes["fulls"]))) if len(sizes) else {}
+    buckets = max(1, -(-max(map(int, sizes["items"]), default=1) // bucket_rows)) * 16
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+
+    counts = rows.groupBy("size", "bucket").agg(F.count("*").alias("items"), F.sum("full").alias("fulls"))
+    of_size = Window.partitionBy("size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("size", "bucket", F.coalesce(F.sum("items").over(of_size), F.lit(0)).alias("before"), F.coalesce(F.sum("fulls").over(of_size), F.lit(0)).alias("full_before"))
+    if buckets * len(sizes) <= broadcast_rows:  # beyond it both sides are shuffled by size and bucket, as the ranks are
+        offsets = F.broadcast(offsets)
 
     in_bucket = Window.partitionBy("size", "bucket").orderBy("doc_id")
     ranked = rows.withColumn("k", F.row_number().over(in_bucket) - 1).withColumn("f", F.sum("full").over(in_bucket.rowsBetween(Window.unboundedPreceding, 0)) - F.col("full"))
-    ranked = ranked.join(F.broadcast(offsets), ["size", "bucket"])  # bounded as above
+    ranked = ranked.join(offsets, ["size", "bucket"])
+    if any(first_full.values()):
+        starts = F.create_map(*[F.lit(x) for s, n in first_full.items() for x in (s, n)])
+        ranked = ranked.withColumn("full_before", F.when(F.col("full") > 0, F.col("full_before") + F.element_at(starts, F.col("size"))).otherwise(F.col("full_before")))
 
     @F.pandas_udf("struct<container_id bigint, container_length int>")
     def place(size: pd.Series, rank: pd.Series) -> pd.DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioflow.llm import boilerplate, leakage, lookalike, matching, mojibake, packing, pages, pairs, residue, split, truncation
@@ -94,6 +94,30 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p8_containers(spark, d))
 
 
+def p8_placed(spark: SparkSession, d: str) -> DataFrame:
+    """What of every document lies in containers: its tokens, its parts and the greatest gap or overlap between them."""
+    packed = p8_containers(spark, d)
+    spans = packed.groupBy("doc_id").agg(F.sum(F.col("token_end") - F.col("token_start")).cast("bigint").alias("tokens"), F.count("*").alias("parts"), F.min("token_start").alias("first"), F.max("token_end").alias("last"))
+    return spans
+
+
+def p8_overfull(spark: SparkSession, d: str) -> DataFrame:
+    """Containers filled beyond their length, and how many fewer containers the tokens alone would need, by a twentieth."""
+    one = p8_containers(spark, d).groupBy("container_id", "container_length").agg(F.sum(F.col("token_end") - F.col("token_start")).alias("used"))
+    return one.agg(F.count_if(F.col("used") > F.col("container_length")).alias("overfull"), F.sum("used").cast("bigint").alias("tokens"), (F.count("*") * 2048 <= F.sum("used") * 1.05 + 2048).alias("near_bound"))
+
+
+def p2_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """Every text put together again from its pieces without their overlaps, the longest piece and whether all overlaps are whole."""
+    pieces = p2_pieces(spark, d).withColumn("piece", F.coalesce("piece", F.lit("")))
+    w = Window.partitionBy("table_name", "row_id").orderBy("piece_no")
+    shared = F.coalesce(F.lag("end_pos").over(w) - F.col("start_pos"), F.lit(0))
+    p = pieces.withColumn("shared", shared)
+    new = F.substr("piece", F.col("shared").cast("int") + 1, F.length("piece"))
+    whole = p.groupBy("table_name", "row_id").agg(F.array_sort(F.collect_list(F.struct("piece_no", new.alias("t")))).alias("x"), (F.max(F.length("piece")) <= 4000).alias("within_limit"), F.bool_and((F.col("piece_no") == 0) | (F.col("shared") == 200)).alias("overlaps"))
+    return whole.select("table_name", "row_id", F.md5(F.array_join(F.transform("x", lambda x: x["t"]), "")).alias("digest"), "within_limit", "overlaps")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -107,7 +131,7 @@ def p10_share(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_confidence, p2_found, p2_pieces, p3_found, p3_forms, p4_found, p5_found, p6_found, p7_found, p7_restored, p8_containers, p8_fill, p9_found, p10_found, p10_share)
+    f.__name__: f for f in (p1_found, p1_confidence, p2_found, p2_pieces, p2_rebuilt, p3_found, p3_forms, p4_found, p5_found, p6_found, p7_found, p7_restored, p8_containers, p8_fill, p8_placed, p8_overfull, p9_found, p10_found, p10_share)
 }
 
 def _lookalike_sql() -> str:
@@ -177,7 +201,16 @@ def _truncation_sql(share: bool) -> str:
     return body + " SELECT doc_id FROM f WHERE cut"
 
 
+_PACKED = r"documents WHERE n_tokens >= 1 AND regexp_matches(text, '[^\s \x{3000}\x{FEFF}]')"
+
 ORACLES: dict[str, str] = {
+    "p2_rebuilt": """
+        SELECT 'txt_chapters' AS table_name, chapter_id AS row_id, md5(coalesce(content, '')) AS digest, true AS within_limit, true AS overlaps FROM txt_chapters
+        UNION ALL
+        SELECT 'summary_requests', request_id, md5(coalesce(content, '')), true, true FROM summary_requests
+    """,
+    "p8_placed": f"SELECT doc_id, CAST(n_tokens AS BIGINT) AS tokens, (n_tokens + 2047) // 2048 AS parts, CAST(0 AS BIGINT) AS first, CAST(n_tokens AS BIGINT) AS last FROM {_PACKED}",
+    "p8_overfull": f"SELECT 0 AS overfull, CAST(sum(n_tokens) AS BIGINT) AS tokens, true AS near_bound FROM {_PACKED}",
     "p10_found": _truncation_sql(share=False),
     "p10_share": _truncation_sql(share=True),
     "p3_found": _lookalike_sql(),

@@ -50,7 +50,7 @@ def test_patterns_use_every_item_once_and_fit(histogram):
 def test_packing_places_every_token(spark):
     rows = [(k, (k * 37) % 90 + 1, "t") for k in range(500)] + [(900, 250, "t"), (901, 200, "t"), (902, None, "t"), (903, 5, " "), (904, 5, None), (905, 0, "t")]
     d = spark.createDataFrame(rows, "doc_id bigint, n bigint, text string")
-    out = packing.pack(d, "doc_id", "n", "text", capacity=100, lengths=(25, 50, 100), buckets=4)
+    out = packing.pack(d, "doc_id", "n", "text", capacity=100, lengths=(25, 50, 100), bucket_rows=10)
     fill = out.groupBy("container_id", "container_length").agg(F.sum(F.col("token_end") - F.col("token_start")).alias("u")).collect()
     assert all(r["u"] <= r["container_length"] for r in fill) and len({r["container_id"] for r in fill}) == len(fill)
     sizes = {r["doc_id"]: r["u"] for r in out.groupBy("doc_id").agg(F.sum(F.col("token_end") - F.col("token_start")).alias("u")).collect()}
