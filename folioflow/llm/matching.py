@@ -7,8 +7,8 @@ introduction. Hits that are copies (one origin, one address) are one node.
 
 Candidates share evidence of two units or more: an equal name or an
 equal beginning of the introduction counts two, a piece of the name together with
-the author counts one, and so do near last chapters and like numbers of words. Pairs of one origin, or with
-last chapters far apart, are no candidates.
+the author counts one, and so do near last chapters and like numbers of words. Pairs of one
+origin are no candidates.
 
 Each candidate pair is a variable with a prior log-odds from its attributes. A
 source holds a work once, so of the candidates of a hit within one other origin
@@ -17,12 +17,9 @@ Messages between variables and factors are exchanged through joins on the factor
 until they stop changing; the marginal of a pair is its confidence. Factors with
 one candidate send nothing, so only contested pairs take part in the exchange.
 
-A block of one key holding more than `block_limit` nodes is split by each further
-thing known of its nodes (author, introduction, near last chapters, like numbers of
-words, and the name where that isn't the key), so that two of them meet if they share
-any; only pairs that share nothing but the hot key stay apart, for which the key of so
-many nodes is no evidence. The join spreads a hot key over tasks by adaptive skew
-handling.
+No pair is dropped for the size of a block. A key of more than `block_limit` nodes is
+joined in slices, one side in one of them and the other with all, so that its pairs are
+spread over tasks; their number grows with the square of its nodes.
 
 Defined results: a null or blank name has no candidates by name, a null, blank or
 stand-in author is no evidence; null fields are no evidence; copies are matched
@@ -221,28 +218,34 @@ def _small(df: DataFrame, name: str, most: int = 200_000) -> DataFrame:
     return F.broadcast(table) if table.count() <= most else table
 
 
-def candidates(nodes: DataFrame, block_limit: int = 2000, chapter_gap: int = 30) -> DataFrame:
+def candidates(nodes: DataFrame, block_limit: int = 2000, near_chapters: int = 15) -> DataFrame:
     """(a, b): pairs of nodes of different origins with two units of shared evidence.
 
-    Last chapters further apart than chapter_gap are evidence against a pair that
-    nothing outweighs: such pairs are no candidates.
+    Every such pair comes out, however many nodes share a key: keys of more than
+    block_limit nodes are joined in slices of about as many.
     """
-    keyed = nodes.select("node", "origin", "name", "family", "initial", "intro", "chapter", "words", F.explode("keys").alias("k"))
-    hot = _small(keyed.groupBy("k").agg(F.count("*").alias("n")).filter(F.col("n") > block_limit).select("k", F.lit(True).alias("hot")), "hot")
-    # a key of too many nodes gives way to the key with each other thing known of a node: two nodes meet that share any of them
-    weight = F.col("k").bitwiseAND(F.lit(1))
-    steps = lambda c, width: [F.floor(c / width), F.floor(c / width + 0.5)]  # noqa: E731  # two rows of steps half a step apart: what is within half a step shares one
-    beside_key = [F.when(F.col("family") != "", F.xxhash64("k", F.lit("a"), "family", "initial")), F.when(F.col("intro").isNotNull(), F.xxhash64("k", F.lit("i"), "intro")), F.when(weight == 0, F.xxhash64("k", F.lit("n"), "name"))]
-    beside_key += [F.when(c.isNotNull(), F.xxhash64("k", F.lit(f"c{n}"), c)) for n, c in enumerate(steps(F.col("chapter"), chapter_gap))] + [F.when(c.isNotNull(), F.xxhash64("k", F.lit(f"w{n}"), c)) for n, c in enumerate(steps(F.log("words"), 0.2))]
-    finer = F.transform(F.array_compact(F.array(*beside_key)), lambda x: x.bitwiseAND(F.lit(-2)).bitwiseOR(weight))
-    told = keyed.join(hot, "k", "left").withColumn("finer", F.when(F.col("hot"), finer).otherwise(F.array("k")))
-    kept = told.select(F.explode("finer").alias("k"), "node", "origin", "chapter", F.log("words").cast("float").alias("words"))
-    other = kept.select("k", F.col("node").alias("other"), F.col("origin").alias("from"), F.col("chapter").alias("there"), F.col("words").alias("many"))
-    apart = F.abs(F.col("chapter") - F.col("there"))
-    near = F.coalesce(apart <= chapter_gap, F.lit(True))
-    beside = sum(F.coalesce(c, F.lit(False)).cast("int") for c in (apart <= chapter_gap / 2, F.abs(F.col("words") - F.col("many")) <= 0.1))
-    pairs = kept.join(other, "k").filter((F.col("node") < F.col("other")) & (F.col("origin") != F.col("from")) & near)
-    return pairs.groupBy(F.col("node").alias("a"), F.col("other").alias("b")).agg((F.sum(1 + weight) + F.max(beside)).alias("shared")).filter("shared >= 2").select("a", "b")
+    keyed = nodes.select("node", "origin", "chapter", F.log("words").cast("float").alias("words"), "keys", F.explode("keys").alias("k"))
+    hot = written(keyed.groupBy("k").agg(F.count("*").alias("n")).filter(F.col("n") > block_limit).select("k", F.ceil(F.col("n") / block_limit).cast("int").alias("slices")), "hot")
+    count = hot.count()
+    hot = F.broadcast(hot) if count <= 200_000 else hot
+    weight = lambda k: 1 + k.bitwiseAND(F.lit(1))
+    beside = sum(F.coalesce(c, F.lit(False)).cast("int") for c in (F.abs(F.col("chapter") - F.col("there")) <= near_chapters, F.abs(F.col("words") - F.col("many")) <= 0.1))
+
+    def met(rows: DataFrame, others: DataFrame, on: list[str]) -> DataFrame:
+        pairs = rows.join(others, on).filter((F.col("node") < F.col("other")) & (F.col("origin") != F.col("from")))
+        return pairs.withColumn("weight", weight(F.col("k"))).withColumn("beside", beside)
+
+    names = {"node": "other", "origin": "from", "chapter": "there", "words": "many", "keys": "their"}
+    kept = (keyed.join(hot, "k", "left_anti") if count else keyed).drop("keys").repartition("k")  # shuffled once for both sides
+    pairs = met(kept, kept.withColumnsRenamed(names), ["k"]).select("node", "other", "weight", "beside")
+    if count:  # one side of a hot key in slices, the other with every slice
+        rows = keyed.join(hot, "k")
+        left = rows.withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")).drop("slices")
+        right = rows.withColumnsRenamed(names).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
+        # what all shared keys weigh is known here, so that pairs short of two units needn't be gathered to be counted
+        shared = F.aggregate(F.array_intersect("keys", "their"), F.lit(0).cast("bigint"), lambda n, k: n + weight(k))
+        pairs = pairs.unionByName(met(left, right, ["k", "slice"]).filter(shared + F.col("beside") >= 2).select("node", "other", "weight", "beside"))
+    return pairs.groupBy(F.col("node").alias("a"), F.col("other").alias("b")).agg((F.sum("weight") + F.max("beside")).alias("shared")).filter("shared >= 2").select("a", "b")
 
 
 def prior(l: str = "l", r: str = "r") -> Column:

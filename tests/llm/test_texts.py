@@ -192,3 +192,33 @@ def test_messages_that_cannot_settle_are_an_error(spark):
     d = spark.createDataFrame([(1, 2, 10, 20, 3.0), (1, 3, 10, 20, 2.0)], "a bigint, b bigint, oa bigint, ob bigint, prior double")
     with pytest.raises(RuntimeError):
         matching.propagate(d, iterations=1, tolerance=0.0)
+
+
+def test_hot_keys_keep_every_pair(spark):
+    rng = random.Random(3)
+    rows = [(k, rng.randrange(6), "", "", "", None, rng.choice([None, 40, 50, 90]), rng.choice([None, 1000.0, 1050.0, 9000.0]), [x for x in (101, 200, 300, 400 + 2 * (k % 9)) if rng.random() < 0.5]) for k in range(60)]
+    d = spark.createDataFrame(rows, "node bigint, origin bigint, name string, family string, initial string, intro bigint, chapter int, words double, keys array<bigint>")
+    want = set()
+    for x in rows:
+        for y in rows:
+            near = sum(a is not None and b is not None and abs(a - b) <= most for a, b, most in ((x[6], y[6], 15), (x[7], y[7], 99)))
+            shared = sum(1 + k % 2 for k in set(x[8]) & set(y[8]))
+            if x[0] < y[0] and x[1] != y[1] and shared and shared + near >= 2:
+                want.add((x[0], y[0]))
+    for limit in (1, 4, 10**9):
+        assert {(r["a"], r["b"]) for r in matching.candidates(d, limit).collect()} == want
+    assert len(want) > 300
+
+
+def test_splitting_hot_keys_changes_no_pair(spark, sf_dir):
+    from folioflow.sources.tables import table
+
+    hits = table(spark, sf_dir, "search_hits")
+    pairs = lambda limit: {(r["hit_id_a"], r["hit_id_b"]) for r in matching.match_hits(hits, block_limit=limit).collect()}
+    assert pairs(1) == pairs(10**9)
+
+
+def test_far_last_chapters_are_weighed(spark):
+    intro = "The keeper of the lantern walks the marsh road until the town is gone"
+    rows = [hit(1, "The Silver Lantern of Marshgate", "Corin B. Fairley", "o1", 100, "200000", intro), hit(2, "The Silver Lantern of Marshgate", "Corin B. Fairley", "o2", 160, "201000", intro), hit(3, "The Silver Lantern of Marshgate", "Dara Q. Northby", "o3", 160, "900000")]
+    assert {(r["hit_id_a"], r["hit_id_b"]) for r in matching.match_hits(spark.createDataFrame(rows, HITS)).collect()} == {(1, 2)}
