@@ -262,7 +262,8 @@ def pair_tone(relations: DataFrame, pair: list[str], order: str) -> DataFrame:
     """Tone, greatest strength and label of each pair (A16): kind, polarity, strength, label.
 
     The tone is the first of family, romance, conflict, ally and affiliation that any
-    relation has; the label joins the first three distinct ones.
+    relation has; the label joins the first three distinct ones, those without an order
+    last and those of equal order by their text.
     """
     kind, polarity = F.col("kind"), F.col("polarity")
     rank = F.when(F.col("strength") == "strong", 3).when(F.col("strength") == "moderate", 2).when(F.col("strength") == "weak", 1).otherwise(0)
@@ -271,7 +272,7 @@ def pair_tone(relations: DataFrame, pair: list[str], order: str) -> DataFrame:
         F.min(order).alias("_o"), F.bool_or(kind == "family").alias("f"), F.bool_or(kind == "romance").alias("r"), F.bool_or(kind.isin("conflict", "rivalry") | (polarity == "negative")).alias("c"),
         F.bool_or(kind.isin("alliance", "friendship") | (polarity == "positive")).alias("a"), F.bool_or(kind.isin("affiliation", "supervision")).alias("m"), F.max(rank).alias("s"),
     )
-    g = once.groupBy(*pair).agg(*[F.bool_or(x).alias(x) for x in "frcam"], F.max("s").alias("s"), F.slice(F.array_sort(F.collect_list(F.when(F.col("label") != "", F.struct("_o", "label")))), 1, 3).alias("l"))
+    g = once.groupBy(*pair).agg(*[F.bool_or(x).alias(x) for x in "frcam"], F.max("s").alias("s"), F.slice(F.array_sort(F.collect_list(F.when(F.col("label") != "", F.struct(F.col("_o").isNull().alias("_none"), "_o", "label")))), 1, 3).alias("l"))
     tone = F.when(F.col("f"), "family").when(F.col("r"), "romance").when(F.col("c"), "conflict").when(F.col("a"), "ally").when(F.col("m"), "affiliation").otherwise("neutral")
     strength = F.element_at(F.array(*map(F.lit, ("unknown", "weak", "moderate", "strong"))), F.col("s") + 1)
     return g.select(*pair, tone.alias("tone"), strength.alias("strength"), F.array_join(F.transform("l", lambda x: x["label"]), " / ").alias("label"))

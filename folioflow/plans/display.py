@@ -265,12 +265,12 @@ _BONDS = """b AS (SELECT l_suppkey % 50 AS pair, l_orderkey * 8 + l_linenumber A
            CASE max(CASE strength WHEN 'strong' THEN 3 WHEN 'moderate' THEN 2 WHEN 'weak' THEN 1 ELSE 0 END) WHEN 3 THEN 'strong' WHEN 2 THEN 'moderate' WHEN 1 THEN 'weak' ELSE 'unknown' END AS strength, any_value(t.label) AS label FROM b JOIN t USING (pair) GROUP BY pair
 """)
 def pair_tones(spark: SparkSession, d: str) -> DataFrame:
-    q = F.col("l_quantity").cast("bigint")
+    q = F.rint("l_quantity").cast("bigint")  # a cast in SQL rounds, half to even
     l = table(spark, d, "lineitem").filter((F.col("l_suppkey") % 50 < 40) | (q % 10 != 3))
     kind = F.when(q % 10 == 1, "alliance").when(q % 10 == 2, "affiliation").when(q % 10 == 3, "rivalry").otherwise("other")
     label = F.when(q % 9 == 0, "").otherwise(F.concat(F.lit("q"), (q % 9).cast("string")))
     b = l.select((F.col("l_suppkey") % 50).alias("pair"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ord"), kind.alias("kind"), F.when((F.col("l_tax") > 0.07) & (F.col("l_suppkey") % 2 == 0), "negative").alias("polarity"), F.when(F.col("l_returnflag") == "A", "strong").when(F.col("l_returnflag") == "N", "weak").alias("strength"), label.alias("label"))
-    return knowledge.pair_tone(b, ["pair"], "ord")
+    return knowledge.pair_tone(b.filter("pair is not null"), ["pair"], "ord").filter("label != ''")
 
 
 @query("SELECT user_ns, book_url, chapter_url, summary_id, lag(prompt_version) OVER w AS previous_prompt_version, prompt_version AS next_prompt_version FROM chapter_summaries WINDOW w AS (PARTITION BY user_ns, book_url, chapter_url ORDER BY summary_id)")
